@@ -3,7 +3,7 @@ r"""Token ids of many texts at once.
 A batch is cut into pre-tokens by arrays of character classes, its distinct pre-tokens are found by Arrow's dictionary encoding, each new
 one is encoded once (by the tokenizers library, or by another function of distinct words), and the ids are gathered by index. The cut
 covers texts of code points below 0x250 only, without those whose lower case or normal form isn't one code point for one; any other text,
-and one with the string of a special token, goes to the library whole, so results are the library's for all.
+and one with the string of a special token, goes whole to the library (or to another function of texts), so results are the library's for all.
 """
 
 from __future__ import annotations
@@ -110,14 +110,14 @@ def cut_word(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Encoder:
     """ids(texts) for a tokenizer file of kind `byte` (byte-level) or `word` (lower case, white space dropped).
 
-    words: a function from a list of new pre-tokens to their lists of ids; by default the library's.
+    words: a function from a list of new pre-tokens to their lists of ids; whole: one from texts beyond the cut to theirs. By default both are the library's.
     """
 
-    def __init__(self, path: str, kind: str, words: Callable[[list[str]], list[list[int]]] | None = None):
+    def __init__(self, path: str, kind: str, words: Callable[[list[str]], list[list[int]]] | None = None, whole: Callable[[list[str]], list[list[int]]] | None = None):
         self.tokenizer = load(path)
         self.lower = kind == "word"
         self.cut = {"byte": cut_byte, "word": cut_word}[kind]
-        self.words = words or self._library
+        self.words, self.whole = words or self._library, whole or self._library
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -195,7 +195,7 @@ class Encoder:
         ids, bounds = self._easy(cp, ends)
         if not hard.any():
             return ids, bounds
-        whole = {int(i): np.array(e.ids, np.uint32) for i, e in zip(np.flatnonzero(hard), self.tokenizer.encode_batch_fast(array.filter(pa.array(hard)).to_pylist(), add_special_tokens=False), strict=True)}
+        whole = {int(i): np.array(x, np.uint32) for i, x in zip(np.flatnonzero(hard), self.whole(array.filter(pa.array(hard)).to_pylist()), strict=True)}
         parts, k = [], 0
         for i in range(n):
             if i in whole:
