@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import packing, quality, secrets
+from kmerloom.llm import nearcopies, packing, quality, secrets
 from kmerloom.llm.store import saved, table
 from kmerloom.session import ship
 
@@ -14,6 +14,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.rules(docs, "__quality").where("__quality.kept").select(*docs.columns)
 
 
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    ship(spark)
+    return nearcopies.deduplicate(docs)
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with secrets replaced."""
     ship(spark)
@@ -26,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
 
 #: Packing by tokenizer ids can't be said in SQL.
 ORACLE_SQL = None
