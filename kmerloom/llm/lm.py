@@ -10,7 +10,8 @@ their counts to key ranges, so a pair as common as a third of all is one key for
 every block with the totals of the keys it sent, and no others. Blocks then keep the counts that their tokens need: one
 pass a round of EM over the held-out tokens' counts, and one to score. What the driver sees are the buckets' weights and totals.
 
-Words and pairs are told apart by 64-bit hashes: among 10 million words the chance of any two being taken for one is about 3 in a million.
+Words are told apart by 64-bit hashes: among 10 million the chance of any two being taken for one is about 3 in a million. Pairs are by 52 bits of
+theirs: among 10^8 pairs one in 45 million shares its count with another.
 
 Edge cases: null and empty texts are one end token. A null key counts as the empty text, whose crc32 is 0: held out. Repeated rows count each time they occur. With no training documents all is
 scored by L0 = 1 and V = 0. An empty table gives none. Other columns are left out.
@@ -34,7 +35,7 @@ FOLDS, HELD, BLOCK, PER_RANGE = 10, 1, 12 << 20, 2_000_000
 #: EM ends after ROUNDS or when no weight moves by more than STILL.
 ROUNDS, STILL, LEVELS = 20, 1e-3, 65
 _END = np.uint64(0x0123456789ABCDEF)
-_ONE = np.uint64(1)
+SHIFT = np.uint64(12)
 
 
 def fold(key: object) -> int:
@@ -42,7 +43,7 @@ def fold(key: object) -> int:
 
 
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each block: keys, folds, tokens as places in its distinct words, those words' hashes (the end is the last)."""
+    """A row for each block: keys, folds, tokens as places in its distinct words, those words' hashes (the end has one too)."""
     schema = f"block bigint, docs array<{dict(docs.dtypes)[key]}>, folds binary, tokens binary, bounds binary, words binary, n bigint, n_train bigint, n_held bigint"
     out = arrow(schema)
 
@@ -53,8 +54,11 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
             n = np.diff(w.bounds)
             tokens = np.full(len(w.index) + len(n), len(w.hashes), np.uint32)
             tokens[np.arange(len(w.index)) + np.repeat(np.arange(len(n)), n)] = w.index
-            size = n + 1
-            row = [block, None, folds.tobytes(), pack(tokens), pack(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), True), np.append(w.hashes, _END).tobytes(), int(size.sum()), int(size[folds > 0].sum()), int(size[folds == HELD].sum())]
+            common = np.argsort(-np.bincount(tokens, minlength=len(w.hashes) + 1), kind="stable")  # small numbers for common words pack better
+            rank = np.empty(len(common), np.uint32)
+            rank[common] = np.arange(len(common))
+            tokens, words, size = rank[tokens], np.append(w.hashes, _END)[common], n + 1
+            row = [block, None, folds.tobytes(), pack(tokens), pack(np.concatenate([[0], np.cumsum(size)]).astype(np.int64), True), words.tobytes(), int(size.sum()), int(size[folds > 0].sum()), int(size[folds == HELD].sum())]
             cols = [pa.array([v], t.type) if v is not None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids) for v, t in zip(row, out, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=out.names)
 
@@ -62,62 +66,73 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class Keys:
-    """A block's distinct keys, sorted (words are odd, pairs even), and the key of each token and pair."""
+    """A block's distinct words (64 bits) and pairs (52 bits), each sorted, and their place for each token."""
 
     def __init__(self, row: dict):
         self.tokens, self.bounds = unpack(row["tokens"], np.uint32), unpack(row["bounds"], np.int64, True)
         self.folds = np.frombuffer(row["folds"], np.uint8)
-        words = np.frombuffer(row["words"], np.uint64)
-        self.context = np.empty_like(self.tokens)
-        self.context[1:] = self.tokens[:-1]
-        self.context[self.bounds[:-1]] = len(words) - 1
-        h = words[self.tokens]
-        pairs = mixed(words[self.context] * _ODD[0] + h * _ODD[1]) & ~_ONE
-        coded = pa.array(pairs).dictionary_encode()
-        word_keys, pair_keys = mixed(words) | _ONE, coded.dictionary.to_numpy()
-        keys = np.concatenate([word_keys, pair_keys])
+        words = mixed(np.frombuffer(row["words"], np.uint64))
+        context = np.empty_like(self.tokens)
+        context[1:] = self.tokens[:-1]
+        context[self.bounds[:-1]] = np.flatnonzero(words == mixed(np.array([_END]))[0])[0]
+        coded = pa.array(mixed(words[context] * _ODD[0] + words[self.tokens] * _ODD[1]) >> SHIFT).dictionary_encode()
+        self.words, place = self._sorted(words)
+        self.word, self.word_context = place[self.tokens], place[context]
+        self.pairs, place = self._sorted(coded.dictionary.to_numpy())
+        self.pair = place[coded.indices.to_numpy()]
+
+    @staticmethod
+    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        self.keys = keys[order]
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
-        self.word, self.pair = place[: len(words)][self.tokens], place[len(words) :][coded.indices.to_numpy()]
-        self.word_context = place[: len(words)][self.context]
+        return keys[order], place
 
-    def counts(self, folds: np.ndarray) -> np.ndarray:
-        """How often each key occurs in documents of these folds."""
+    def counts(self, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and each pair occurs in documents of these folds."""
         on = np.repeat(folds, np.diff(self.bounds))
-        n = len(self.keys)
-        return (np.bincount(self.word[on], minlength=n) + np.bincount(self.pair[on], minlength=n)).astype(np.uint32)
+        return tuple(np.bincount(x[on], minlength=len(k)).astype(np.uint32) for x, k in ((self.word, self.words), (self.pair, self.pairs)))
+
+
+ASKED = "bucket bigint, block bigint, words binary, word_train binary, word_held binary, pairs binary, pair_train binary, pair_held binary"
+ANSWERED = "block bigint, bucket bigint, word_train binary, word_held binary, pair_train binary, pair_held binary, vocabulary bigint"
 
 
 def _ask(count: int):
-    out = arrow("bucket bigint, block bigint, keys binary, train binary, held binary")
+    out = arrow(ASKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 k = Keys(row)
                 train, held = k.counts(k.folds > 0), k.counts(k.folds == HELD)
-                at = np.searchsorted(buckets(k.keys, count), np.arange(count + 1))
-                some = np.flatnonzero(np.diff(at))
-                part = [slice(at[b], at[b + 1]) for b in some]
-                cols = [some, [row["block"]] * len(some), [pack(k.keys[p], True) for p in part], [pack(train[p]) for p in part], [pack(held[p]) for p in part]]
+                ends = [np.searchsorted(buckets(x, count), np.arange(count + 1)) for x in (k.words, k.pairs << SHIFT)]
+                some = np.flatnonzero(np.diff(ends[0]) + np.diff(ends[1]))
+                cols = [some, [row["block"]] * len(some)]
+                for kind, keys in enumerate((k.words, k.pairs)):
+                    part = [slice(ends[kind][b], ends[kind][b + 1]) for b in some]
+                    cols += [[pack(keys[p], True) for p in part], [pack(train[kind][p]) for p in part], [pack(held[kind][p]) for p in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], names=out.names)
 
     return run
 
 
+def _totals(rows: dict, keys: str, kind: str) -> tuple[list[bytes], list[bytes], int]:
+    """The sums of the keys, as each block sent them, and how many occur in training."""
+    sent = [unpack(k, np.uint64, True) for k in rows[keys]]
+    coded = pa.array(np.concatenate(sent)).dictionary_encode()
+    at, n, ends = coded.indices.to_numpy(), len(coded.dictionary), np.cumsum([len(k) for k in sent])
+    total = [np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in rows[f"{kind}_{c}"]]), n).astype(np.uint64) for c in ("train", "held")]
+    back = [[pack(t[at[e - len(k) : e]]) for k, e in zip(sent, ends, strict=True)] for t in total]
+    return *back, int((total[0] > 0).sum())
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """Totals of a range's keys, for each block that sent them, in the order they were sent."""
     rows = group.to_pydict()
-    keys = [unpack(k, np.uint64, True) for k in rows["keys"]]
-    coded = pa.array(np.concatenate(keys)).dictionary_encode()
-    at, n = coded.indices.to_numpy(), len(coded.dictionary)
-    total = {c: np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in rows[c]]), n).astype(np.uint64) for c in ("train", "held")}
-    words = int(((coded.dictionary.to_numpy() & _ONE == _ONE) & (total["train"] > 0)).sum())
-    ends = np.cumsum([len(k) for k in keys])
-    parts = [at[e - len(k) : e] for k, e in zip(keys, ends, strict=True)]
-    return pa.table({"block": rows["block"], "bucket": rows["bucket"], "train": [pack(total["train"][p]) for p in parts], "held": [pack(total["held"][p]) for p in parts], "vocabulary": pa.array([words] + [0] * (len(parts) - 1), pa.int64())})
+    train, held, vocabulary = _totals(rows, "words", "word")
+    pair_train, pair_held, _ = _totals(rows, "pairs", "pair")
+    return pa.table({"block": rows["block"], "bucket": rows["bucket"], "word_train": train, "word_held": held, "pair_train": pair_train, "pair_held": pair_held, "vocabulary": pa.array([vocabulary] + [0] * (len(train) - 1), pa.int64())})
 
 
 def _keep(key_kind: str):
@@ -129,10 +144,10 @@ def _keep(key_kind: str):
         if not rows:
             return out.empty_table()
         k, a = Keys(rows[0]), answers.sort_by("bucket").to_pydict()
-        train, held = (np.concatenate([unpack(x, np.uint64) for x in a[c]]) for c in ("train", "held"))
+        word, word_held, pair, pair_held = (np.concatenate([unpack(x, np.uint64) for x in a[c]]) for c in ("word_train", "word_held", "pair_train", "pair_held"))
         on = np.repeat(k.folds == HELD, np.diff(k.bounds))
-        kept = train - held
-        row = [rows[0]["docs"], rows[0]["folds"], rows[0]["bounds"], pack(train[k.word]), pack(train[k.pair]), *(pack(kept[x[on]]) for x in (k.word_context, k.word, k.pair)), sum(a["vocabulary"])]
+        word_kept, pair_kept = word - word_held, pair - pair_held
+        row = [rows[0]["docs"], rows[0]["folds"], rows[0]["bounds"], pack(word[k.word]), pack(pair[k.pair]), pack(word_kept[k.word_context[on]]), pack(word_kept[k.word[on]]), pack(pair_kept[k.pair[on]]), sum(a["vocabulary"])]
         return pa.table([pa.array([v], t.type) for v, t in zip(row, out, strict=True)], schema=out)
 
     return fn, schema
@@ -186,8 +201,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     size = made.agg(F.sum("n").alias("n"), F.sum("n_train").alias("train"), F.sum("n_held").alias("held")).first()
     n, held = size.train or 0, size.held or 0
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (size.n or 0) // PER_RANGE))
-    asked = made.mapInArrow(_ask(count), "bucket bigint, block bigint, keys binary, train binary, held binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block bigint, bucket bigint, train binary, held binary, vocabulary bigint")
+    asked = made.mapInArrow(_ask(count), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED)
     fn, schema = _keep(kind)
     kept = saved(made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fn, schema), "lm-counts")
     discard(made)
