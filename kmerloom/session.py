@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .errors import ResourceError
+
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -32,9 +36,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; where that is unset, in a temporary one, which is then set."""
+    """A new path in the folder of spark.checkpoint.dir. Only a local session may lack that setting; it then gets a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ResourceError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
+        top = _own[app]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
