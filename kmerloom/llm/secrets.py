@@ -129,7 +129,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """The same rows and columns; in the text each stretch of overlapping secrets is replaced by [SECRET:kind]."""
+    """The same rows and columns; in the text each stretch of overlapping secrets is replaced by [SECRET:kind], and chars, if there is such a column, follows."""
     schema = docs.schema
 
     def covered(s: str, hexes: bool) -> str:
@@ -147,10 +147,11 @@ def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataF
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         array = texts(batch, text)
         hexes = with_hex(array)
-        new = [None if s is None else covered(s, i in hexes) for i, s in enumerate(column(batch, text).to_pylist())]
+        old = column(batch, text).to_pylist()
+        new = [None if s is None else covered(s, i in hexes) for i, s in enumerate(old)]
         cols = dict(zip(batch.schema.names, batch.columns, strict=True)) | {text: pa.array(new, column(batch, text).type)}
         if chars in cols:
-            cols[chars] = pa.array([o if s is None else len(s) for s, o in zip(new, cols[chars].to_pylist(), strict=True)], cols[chars].type)
+            cols[chars] = pa.array([n if s == was else len(s) for s, was, n in zip(new, old, cols[chars].to_pylist(), strict=True)], cols[chars].type)
         return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return docs.mapInArrow(per_slice(one, name=text), schema)
