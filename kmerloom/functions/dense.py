@@ -27,7 +27,7 @@ def dense_kmer_count(symbols: Column, config: Config) -> Column:
 
 
 def _code(symbol: Column, a: Alphabet) -> Column:
-    good = symbol.rlike(f"^{a.byte_class}{{{a.width}}}$")
+    good = symbol.rlike(rf"^{a.byte_class}{{{a.width}}}\z")
     return F.when(good, F.conv(F.translate(symbol, *a.digits), 1 << a.unit_bits, -10).cast("long")).otherwise(F.lit(mask_of(a.bits) & a.invalid if a.width == 1 else mask_of(a.bits)))
 
 

@@ -38,7 +38,7 @@ def valid_kmer_count(sequence: Column, config: Config) -> Column:
         runs = F.regexp_extract_all(as_bytes(sequence), F.lit(f"{a.byte_class}{{{config.k},}}"), F.lit(0))
         lengths = F.transform(runs, F.length)
     else:
-        marks = F.translate(F.array_join(F.transform(_symbols(as_bytes(sequence), a), lambda s: F.when(s.rlike(f"^{a.byte_class}{{{a.width}}}$"), F.lit("1")).otherwise(F.lit("0"))), ""), "", "")
+        marks = F.translate(F.array_join(F.transform(_symbols(as_bytes(sequence), a), lambda s: F.when(s.rlike(rf"^{a.byte_class}{{{a.width}}}\z"), F.lit("1")).otherwise(F.lit("0"))), ""), "", "")
         lengths = F.transform(F.regexp_extract_all(marks, F.lit(f"1{{{config.k},}}"), F.lit(0)), F.length)
     return F.aggregate(lengths, F.lit(0).cast("long"), lambda x, n: x + (n - config.k + 1))
 
@@ -56,7 +56,7 @@ def windows(records: DataFrame, config: Config, sequence: str = "sequence", *kee
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1))
     out = records.select(*keep, F.encode(F.col(sequence), "UTF-8").alias("__raw")).select(*keep, "__raw", F.explode(starts).alias("pos"))
     out = out.select(*keep, "pos", F.decode(F.substring(raw, F.col("pos") * w + 1, F.lit(k * w)), "ISO-8859-1").alias("kmer"))
-    return out.where(F.col("kmer").rlike(f"^{config.alphabet.byte_class}+$")) if valid else out
+    return out.where(F.col("kmer").rlike(rf"^{config.alphabet.byte_class}+\z")) if valid else out
 
 
 def packed(kmer: Column, config: Config) -> Column:

@@ -31,6 +31,7 @@ CASES = [
     (TEST, "acgtacgtacgtacgt", "ACGTACGTACGTACGT", [1] * 12),
     (RESIDUE, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", [1] * 22),
     (RESIDUE, "ACDE*ACDEFGHI", "ACDE*ACDEFGHI", [0, 0, 0, 0, 0, 1, 1, 1, 1]),
+    (TEST, "ACGTA\nACGTAC\n", "ACGTA\nACGTAC\n", [1, 0, 0, 0, 0, 0, 1, 1, 0]),
     (CUSTOM, "xyz!xyz", "xyz!xyz", [1, 0, 0, 0, 1]),
     (CODON, "ACGTACGTTAAACCCGGGTTT", "acgtacgttaaacccgggttt", [1] * 5),
     (CODON, "ACGTACNNNGGGTTTAAA", "ACGTACNNNGGGTTTAAA", [0, 0, 0, 1]),
