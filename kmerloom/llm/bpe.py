@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .store import column, slices, table, texts
-from .tokens import Encoder, default_path
+from .tokens import SLICE, Encoder, default_path
 
 #: The split of byte-level BPE files; \p{White_Space} is what their \s means.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
@@ -179,7 +179,7 @@ def digests(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
-        for batch in slices(batches, name=text):
+        for batch in slices(batches, SLICE, text):
             ids, bounds = c.encode(texts(batch, text))
             own = [hashlib.sha256(ids[a:b].astype("<u4").tobytes()).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             back = [hashlib.sha256(s.encode()).hexdigest() for s in c.decode(ids, bounds)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .store import block_ids, column, slices, table, texts
-from .tokens import default_path, encoder
+from .tokens import SLICE, default_path, encoder
 
 SIZE, OPEN, END = 4096, 16 << 20, 2
 
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
             kinds = [kind, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-        for batch in slices(batches, name=text):
+        for batch in slices(batches, SLICE, text):
             kind = column(batch, key).type
             ids, bounds = enc.ids(texts(batch, text))
             done: list[Window] = []

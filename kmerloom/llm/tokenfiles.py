@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import block_ids, column, shared, slices, table, texts
-from .tokens import default_path, encoder
+from .tokens import SLICE, default_path, encoder
 from .words import mixed
 
 MAGIC, HEAD, END, BUCKET = b"KLTOK01\0", "<8sIQQQ", 2, 4
@@ -143,7 +143,7 @@ def write(docs: DataFrame, out: str | None = None, path: str | None = None, key:
         files, top = pafs.FileSystem.from_uri(out)
         name, temporary = f"{top}/{shard:06d}", f"{top}/{shard:06d}.{TaskContext.get().taskAttemptId()}"
         stream, keys, null, sizes = None, [], [], []
-        for batch in slices(batches, name=text):
+        for batch in slices(batches, SLICE, text):
             if stream is None:
                 files.create_dir(top, recursive=True)
                 stream = files.open_output_stream(temporary + ".ids")

@@ -26,6 +26,8 @@ _CLASS = np.array([SPACE if chr(c).isspace() and c not in range(0x1C, 0x20) else
 _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else 0x110000 for c in range(EASY)], np.uint32)
 #: Words kept with their ids; when full, the cache starts anew. It only saves work.
 CACHE = 400_000
+#: Bytes of text cut at once: what a worker holds in arrays is some forty times this.
+SLICE = 3 << 20
 
 
 def load(path: str):
