@@ -168,3 +168,10 @@ def pack_dense(raw: bytes, config: Config) -> np.ndarray:
         part = code[i::s]
         out[: len(part)] |= part << U(i * a.bits)
     return out
+
+
+def xxhash64(keys: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each 64-bit key's bytes (little-endian) with any seed."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(k, seed) for k in np.ascontiguousarray(keys, "<u8").view("V8").tolist()), U, len(keys))

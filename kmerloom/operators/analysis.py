@@ -109,3 +109,19 @@ def shares(total: int, parts: int) -> list[tuple[int, int]]:
     """Begin and length of an even split, the remainder in the last part."""
     size = total // parts
     return [(i * size, size if i < parts - 1 else total - size * (parts - 1)) for i in range(parts)]
+
+
+#: Columns of a benchmark's result table.
+RESULT = "name string, real_time double, items_per_second double, fpr_percentage double, false_positives double, filter_bits double, memory_bytes double, bits_per_item double, num_kmers double, s double, m double, hashes double"
+
+
+def read_results(spark, path: str, columns: str = RESULT) -> DataFrame:
+    """Result tables in CSV. Lines before a file's header are skipped; columns are found by their name, missing ones are null."""
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("ls"))
+    first = lines.select("ls", F.array_position(F.transform("ls", lambda x: x.startswith("name,")), True).alias("at")).where("at > 0")
+    rows = first.select(F.split(F.element_at("ls", F.col("at").cast("int")), ",").alias("header"), F.explode(F.slice("ls", F.col("at") + 1, F.size("ls"))).alias("line")).where("line <> ''")
+    cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))
+    found = rows.select("header", cells.alias("cells"))
+    of = lambda name, kind: F.get(F.col("cells"), (F.array_position("header", name) - 1).cast("int")).try_cast(kind).alias(name)
+    at = lambda name, kind: F.when(F.array_contains("header", name), of(name, kind)).alias(name)
+    return found.select(*(at(*c.split()) for c in columns.split(", ")))
