@@ -48,14 +48,39 @@ def _symbols(text: Column, a: Alphabet) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: text.substr(i * a.width + 1, F.lit(a.width)))).otherwise(F.array().cast("array<string>"))
 
 
+def valid_runs(text: Column, config: Config) -> Column:
+    """Runs of at least k valid one-byte symbols: array of struct(start, run as bytes). Starts follow from the lengths of the pieces between runs."""
+    rx = f"{config.alphabet.byte_class}{{{config.k},}}"
+    kind = "array<struct<start:int,run:binary>>"
+
+    def laid(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        begin = lambda a, i: a["at"] + gaps[i]
+        step = lambda a, i: F.struct((begin(a, i) + F.length(found[i])).alias("at"), F.array_append(a["out"], F.struct(begin(a, i).alias("start"), F.encode(found[i], "ISO-8859-1").alias("run"))).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("found"), F.transform(F.split(text, rx, -1), F.length).alias("gaps"))
+    return F.when(text.rlike(rx), F.transform(F.array(both), laid)[0])
+
+
 def windows(records: DataFrame, config: Config, sequence: str = "sequence", *keep: str, valid: bool = True) -> DataFrame:
-    """A row for each window: keep, pos (symbols from the start), kmer. valid: only those without an invalid symbol."""
+    """A row for each window: keep, pos (symbols from the start), kmer. valid: only those without an invalid symbol.
+
+    Valid windows of one-byte symbols are cut from runs of valid symbols, so windows that would be dropped are not made.
+    """
     k, w = config.k, config.alphabet.width
     raw = F.col("__raw")  # bytes, as a part of them is found by its place without counting characters from the start
+    starts = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    cut = lambda at: F.decode(F.substring(raw, at * w + 1, F.lit(k * w)), "ISO-8859-1").alias("kmer")
+    if valid and w == 1:
+        runs = records.select(*keep, as_bytes(F.col(sequence)).alias("__text")).select(*keep, F.explode(valid_runs(F.col("__text"), config)).alias("__run"))
+        out = runs.select(*keep, F.col("__run.start").alias("__start"), F.col("__run.run").alias("__raw"))
+        out = out.select(*keep, "__start", "__raw", F.explode(starts(F.octet_length(raw) - k + 1)).alias("__at"))
+        return out.select(*keep, (F.col("__start") + F.col("__at")).alias("pos"), cut(F.col("__at")))
     n = F.floor(F.octet_length(raw) / w).cast("int") - k + 1
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    out = records.select(*keep, F.encode(F.col(sequence), "UTF-8").alias("__raw")).select(*keep, "__raw", F.explode(starts).alias("pos"))
-    out = out.select(*keep, "pos", F.decode(F.substring(raw, F.col("pos") * w + 1, F.lit(k * w)), "ISO-8859-1").alias("kmer"))
+    out = records.select(*keep, F.encode(F.col(sequence), "UTF-8").alias("__raw")).select(*keep, "__raw", F.explode(starts(n)).alias("pos"))
+    out = out.select(*keep, "pos", cut(F.col("pos")))
     return out.where(F.col("kmer").rlike(rf"^{config.alphabet.byte_class}+\z")) if valid else out
 
 
