@@ -15,22 +15,18 @@ def _both(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """For edges (a, b: bigint): node, label, the smallest node reachable, for all nodes that have an edge to another.
 
-    In a large-star round every node hands its larger neighbours to its smallest one, in a small-star round its smaller ones;
-    each keeps what is connected, and rounds end when no edge changes. Edges to a common smallest node are stars: a node with many neighbours has a row
-    for each, aggregated before the shuffle.
+    In a large-star step every node hands its larger neighbours to its smallest one, in a small-star step its smaller ones;
+    both keep what is connected. The result is reached when no node that others name as their smallest names one itself. Edges to a common smallest node
+    are stars: a node with many neighbours has a row for each, aggregated before the shuffle.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    while not now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
         both = _both(now)
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        mid = saved(large, "edges")
-        low = mid.groupBy("a").agg(F.min("b").alias("m"))
-        small = mid.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = saved(small, "edges")
-        same = now.exceptAll(new).limit(1).count() + new.exceptAll(now).limit(1).count() == 0
-        for old in (now, mid):
-            discard(old)
+        discard(now)
         now = new
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -6,10 +6,13 @@ A document's set is its distinct shingles of five words (lower-cased A-Z). Two d
    gets back in how many different sets of a block each occurs: the frequency that fixes the global order (rarest first). A document of
    whose shingles fewer than four fifths occur elsewhere can have no partner and leaves here.
 2. Equal sets become one: a representative for each, so exact copies cost a row each and no pair.
-3. Prefix postings: of n shingles in global order the first n - ceil(0.8 n) + 1; two linked sets share one of them.
-4. Candidates come in rounds. In each, every posting list compares all its sets with one (another in each round), skipping sets already in the
-   same component; links found are joined into components. A list of thousands of near copies so costs a row for each copy, not each pair. When
-   the pairs left across components are fewer than the postings, or a round has found nothing new twice, all those pairs are compared: no link between components is missed.
+3. Prefix postings: of n shingles in global order the first n - ceil(0.8 n) + 1; two linked sets share one of them, and what
+   stands after the first that they share must be enough for the overlap they need.
+4. Candidates come in rounds. In each, every posting list compares all its sets with one (one of a few, another in each round), skipping sets already in the
+   same component; links found are joined into components. A list of thousands of near copies so costs rows for each copy, not for each pair. After
+   the first, when
+   the pairs left across components are few for the postings, or a round found links for few of its pairs, all pairs left across components are
+   compared: no link between components is missed.
 5. Candidates are verified by fragments of the global order: sets are cut into segments by frequency class and key range, overlaps of segments are
    counted separately for each fragment, and summed per pair.
 
@@ -36,7 +39,9 @@ from .components import components
 from .store import arrow, block_ids, column, discard, saved, slices, table, texts
 from .words import Words, shingles, split
 
-BLOCK, PER_RANGE, SHIFT, QUIET = 12 << 20, 2_000_000, np.uint64(16), 2
+BLOCK, PER_RANGE, SHIFT = 4 << 20, 1_000_000, np.uint64(16)
+#: Hubs of a group of lists in a round; a round is fruitful if this share of its pairs links; pairs a posting that are few enough to compare all.
+HUBS, FRUITFUL, FEW = 4, 0.5, 8
 
 
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -167,50 +172,52 @@ def verified(pairs: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return with_n.where("100 * o >= 80 * (na + nb - o)").select("a", "b")
 
 
-_NEAR = "5 * least(n, hub_n) >= 4 * greatest(n, hub_n)"
+#: Whether two sets that share a shingle, at these places of theirs, may link if it is the first that they share: at least 4/9 of both must be common.
+_MAY = "9 * least(x.n - x.pos, y.n - y.pos) >= 4 * (x.n + y.n)"
 
 
 def linked(reps: DataFrame) -> DataFrame:
     """rid, label, for representatives in components of two or more."""
+    spark = reps.sparkSession
     prefix = F.expr("slice(arrays_zip(keys, counts), 1, cast(n - div(4 * n + 4, 5) + 1 as int))")
-    postings = reps.select("rid", "n", F.explode(prefix).alias("z")).where("z.counts > 1").select(F.col("z.keys").alias("key"), "rid", "n")
+    own = F.size(F.filter("counts", lambda c: c <= 1)).alias("own")  # shingles of no other set
+    postings = reps.select("rid", "n", own, F.posexplode(prefix).alias("pos", "z")).where("z.counts > 1").select(F.col("z.keys").alias("key"), "rid", "n", "own", "pos")
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    lists = saved(postings.join(shared, "key").select("key", "rid", "n"), "postings")
-    parts, labels, tested, quiet, turn, last = saved(segments(reps.join(lists.select("rid").distinct(), "rid", "left_semi")), "segments"), None, None, 0, 0, None
-    spark = reps.sparkSession
+    live = saved(postings.join(shared, "key").withColumn("label", F.col("rid")), "postings")
+    parts = saved(segments(reps.join(live.select("rid").distinct(), "rid", "left_semi")), "segments")
+    labels, tested, turn, fruitful = spark.createDataFrame([], "node bigint, label bigint"), [], 0, True
     while True:
-        own = lists.withColumn("label", F.col("rid")) if labels is None else lists.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        per = own.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("labels")).where("labels > 1")
-        live = saved(own.join(per.select("key"), "key", "left_semi"), "live")
+        per = live.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.count("*").alias("labels")).where("labels > 1")
+        new = saved(live.join(per.select("key"), "key", "left_semi"), "live")
         left = per.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
+        discard(live)
+        live = new
         if not left.rows:
-            break
-        final = left.pairs <= 2 * left.rows or quiet >= QUIET
+            return labels
+        final = turn > 0 and (left.pairs <= FEW * left.rows or not fruitful)
         if final:
             x, y = live.alias("x"), live.alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.rid") < F.col("y.rid")) & (5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n"))).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
+            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.rid") < F.col("y.rid")) & F.expr(_MAY)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+            for t in tested:
+                found = found.join(t, ["a", "b"], "left_anti")
         else:
-            hubs = live.groupBy("key").agg(F.min_by(F.struct("rid", "n", "label"), F.xxhash64("rid", F.lit(turn))).alias("h")).select("key", F.col("h.rid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-            found = live.join(hubs, "key").where(f"label <> hub_label and {_NEAR}").select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b"))
-        pairs = found.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+            # First those with the fewest shingles of their own, which stand nearest to the others; then any, so that neighbouring lists agree on a few.
+            pick = F.struct(F.col("own") if not turn else F.lit(0), F.xxhash64("rid", F.pmod("key", F.lit(HUBS)), F.lit(turn)))
+            hubs = live.groupBy("key").agg(F.min_by(F.struct("rid", "n", "label", "pos"), pick).alias("y"))
+            x, y = live.alias("x"), hubs.select("key", "y.*").alias("y")
+            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & F.expr(_MAY)).select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+        pairs = saved(found, "pairs")
         links = saved(verified(pairs, parts, reps), "links")
-        some = not links.isEmpty()
-        if some:
-            # edges between what is joined already: each node with its label, besides the new links
-            old = spark.createDataFrame([], "a bigint, b bigint") if labels is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-            labels = components(old.union(links))
-        quiet = 0 if some else quiet + 1
-        tested = pairs if tested is None else saved(tested.union(pairs), "tested")
-        turn += 1
-        if last is not None:
-            discard(last)
-        last = live
+        n_links, n_pairs = links.count(), pairs.count()
+        if n_links:
+            # what is joined already are edges too: each node with its label
+            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
         if final:
-            break
-    return labels if labels is not None else spark.createDataFrame([], "node bigint, label bigint")
+            return labels
+        tested.append(pairs)
+        fruitful = n_pairs > 0 and n_links >= FRUITFUL * n_pairs
+        turn += 1
+        live = saved(live.drop("label").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid")), "labelled")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
