@@ -42,6 +42,8 @@ from .words import Words, shingles, split
 BLOCK, PER_RANGE, SHIFT = 4 << 20, 1_000_000, np.uint64(16)
 #: Hubs of a group of lists in a round; a round is fruitful if this share of its pairs links; pairs a posting that are few enough to compare all.
 HUBS, FRUITFUL, FEW = 4, 0.5, 8
+#: So many ids are broadcast to drop documents; more are joined by shuffle.
+BROADCAST = 1_000_000
 
 
 def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -181,7 +183,8 @@ def linked(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     prefix = F.expr("slice(arrays_zip(keys, counts), 1, cast(n - div(4 * n + 4, 5) + 1 as int))")
     own = F.size(F.filter("counts", lambda c: c <= 1)).alias("own")  # shingles of no other set
-    postings = reps.select("rid", "n", own, F.posexplode(prefix).alias("pos", "z")).where("z.counts > 1").select(F.col("z.keys").alias("key"), "rid", "n", "own", "pos")
+    cut = reps.select("rid", "n", own, prefix.alias("prefix"))  # once a set, not once a posting
+    postings = cut.select("rid", "n", "own", F.posexplode("prefix").alias("pos", "z")).where("z.counts > 1").select(F.col("z.keys").alias("key"), "rid", "n", "own", "pos")
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     live = saved(postings.join(shared, "key").withColumn("label", F.col("rid")), "postings")
     parts = saved(segments(reps.join(live.select("rid").distinct(), "rid", "left_semi")), "segments")
@@ -237,7 +240,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that have a smaller key in their component; rows that repeat a key and text become one."""
     found = saved(classes(docs, key, text), "classes")
-    out = docs.join(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone  # else texts are shuffled for nothing
+    out = docs.join(gone, key, "left_anti").select(*docs.columns)
     if found.groupBy(key).count().where("count > 1").isEmpty():
         return out
     own = out.withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"])
