@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .coding import buckets, pack, unpack
-from .store import arrow, block_ids, column, discard, saved, slices, table, texts
+from .store import arrow, block_ids, column, discard, saved, slices, table, texts, tidy
 from .words import _ODD, mixed, split
 
 FOLDS, HELD, BLOCK, PER_RANGE = 10, 1, 12 << 20, 2_000_000
@@ -113,6 +113,7 @@ def _ask(count: int):
                     part = [slice(ends[kind][b], ends[kind][b + 1]) for b in some]
                     cols += [[pack(keys[p], True) for p in part], [pack(train[kind][p]) for p in part], [pack(held[kind][p]) for p in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], names=out.names)
+        tidy()
 
     return run
 

@@ -36,7 +36,7 @@ from xxhash import xxh3_128_digest
 
 from .coding import buckets, pack, unpack
 from .components import components
-from .store import arrow, block_ids, column, discard, saved, slices, table, texts
+from .store import arrow, block_ids, column, discard, saved, slices, table, texts, tidy
 from .words import Words, shingles, split
 
 BLOCK, PER_RANGE, SHIFT = 4 << 20, 1_000_000, np.uint64(16)
@@ -87,6 +87,7 @@ def _ask(count: int):
                 part = [slice(at[b], at[b + 1]) for b in some]
                 cols = [some, [row["block"]] * len(some), [pack(s.cut[p], True) for p in part], [pack(s.count[p].astype(np.uint32)) for p in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], names=out.names)
+        tidy()
 
     return run
 

@@ -6,6 +6,8 @@ the shared folder, blocks have a fixed content, so that later jobs can answer a
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,6 +60,15 @@ def text_offsets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def tidy() -> None:
+    """Give memory that a task no longer holds back to the system, as a worker that waits for its next task shares its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, name: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with at most `most` bytes of text each (a longer text makes a run alone)."""
     for batch in batches:
@@ -70,6 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES, name: str
             to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+    tidy()
 
 
 def block_ids() -> Iterator[int]:
