@@ -81,7 +81,7 @@ def parsed_names(rows: DataFrame, name: str = "name") -> DataFrame:
 
 
 #: Prefix of a benchmark's name: the filter it is about.
-FILTERS = (("SuperBloomCpu", "cpu_super_bloom"), ("SuperBloom", "super_bloom"), ("BlockedBloom", "blocked_bloom"), ("Cuckoo", "cuckoo"), ("Quotient", "quotient"), ("TwoChoice", "two_choice"))
+FILTERS = (("ShardedBloomCpu", "cpu_sharded_bloom"), ("ShardedBloom", "sharded_bloom"), ("BlockedBloom", "blocked_bloom"), ("Cuckoo", "cuckoo"), ("Quotient", "quotient"), ("TwoChoice", "two_choice"))
 
 
 def filter_name(name: Column) -> Column:

@@ -361,14 +361,14 @@ def host_overhead(spark, d):
     return _table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.round(analysis.overhead(F.col("o_totalprice"), F.col("o_custkey") * 100.0), 6).alias("pct"))
 
 
-_NAME = "'SuperBloom' || l_shipmode_ || '<K31_S' || (l_linenumber + 20) || '_M' || (l_orderkey % 9 + 8) || '_H4>/' || CASE WHEN l_orderkey % 2 = 0 THEN 'Insert' ELSE 'Query' END || '/' || (65536 * l_linenumber) || '_median'"
+_NAME = "'ShardedBloom' || l_shipmode_ || '<K31_S' || (l_linenumber + 20) || '_M' || (l_orderkey % 9 + 8) || '_H4>/' || CASE WHEN l_orderkey % 2 = 0 THEN 'Insert' ELSE 'Query' END || '/' || (65536 * l_linenumber) || '_median'"
 
 
 @query("benchmark_names", f"WITH n AS (SELECT DISTINCT {_NAME.replace('l_shipmode_', 'l_returnflag')} AS name FROM lineitem) SELECT name, regexp_extract(name, '^([^/]+)', 1) AS fixture, regexp_extract(name, '(Insert|Query|FPR)', 1) AS operation, try_cast(regexp_extract(name, '/(\\d+)(?:/|_|$)', 1) AS BIGINT) AS size, " + ", ".join(f"try_cast(regexp_extract(name, '(?:^|[^A-Za-z0-9]){t}(\\d+)', 1) AS BIGINT) AS {t.lower()}" for t in "KSMH") + ", regexp_extract(name, '_(mean|median|stddev|cv)$', 1) AS aggregate FROM n WHERE ends_with(name, '_median')")
 def benchmark_names(spark, d):
     flag = F.when(F.col("l_orderkey") % 2 == 0, "Insert").otherwise("Query")
     cast = lambda c: c.cast("string")
-    name = F.concat(F.lit("SuperBloom"), "l_returnflag", F.lit("<K31_S"), cast(F.col("l_linenumber") + 20), F.lit("_M"), cast(F.col("l_orderkey") % 9 + 8), F.lit("_H4>/"), flag, F.lit("/"), cast(65536 * F.col("l_linenumber")), F.lit("_median"))
+    name = F.concat(F.lit("ShardedBloom"), "l_returnflag", F.lit("<K31_S"), cast(F.col("l_linenumber") + 20), F.lit("_M"), cast(F.col("l_orderkey") % 9 + 8), F.lit("_H4>/"), flag, F.lit("/"), cast(65536 * F.col("l_linenumber")), F.lit("_median"))
     return analysis.selected(_table(spark, d, "lineitem").select(name.alias("name")).distinct())
 
 

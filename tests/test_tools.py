@@ -15,10 +15,10 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_read_results(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('run on some host\n2026\n\nname,iterations,real_time,items_per_second,s\n"Super,Bloom/Insert/65536_median",5,1.5,2e9,28\n"Bad ""one""",1,,x,\n')
+    (tmp_path / "a.csv").write_text('run on some host\n2026\n\nname,iterations,real_time,items_per_second,s\n"Sharded,Bloom/Insert/65536_median",5,1.5,2e9,28\n"Bad ""one""",1,,x,\n')
     (tmp_path / "b.csv").write_text("name,m\nOther_mean,16\n")
     rows = sorted((r.name, r.real_time, r.items_per_second, r.s, r.m) for r in analysis.read_results(spark, str(tmp_path / "*.csv")).collect())
-    assert rows == [('Bad "one"', None, None, None, None), ("Other_mean", None, None, None, 16.0), ("Super,Bloom/Insert/65536_median", 1.5, 2e9, 28.0, None)]
+    assert rows == [('Bad "one"', None, None, None, None), ("Other_mean", None, None, None, 16.0), ("Sharded,Bloom/Insert/65536_median", 1.5, 2e9, 28.0, None)]
 
 
 def test_xxhash64():
