@@ -108,6 +108,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+ZIGZAG = [(4, 1), (4, 3), (5, 3), (5, 2)]
+CROSSED = [(10 * c + i, 10 * c) for c in range(1, 5) for i in range(1, 4)] + [(13, 20), (33, 20), (43, 30)]
+
+
+@pytest.mark.parametrize("edges", [[(3, 1), (3, 2)], ZIGZAG, CROSSED])
+def test_components_join_stars_by_their_members(spark, edges):
+    rows = [tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()]
+    nodes = {n for e in edges for n in e}
+    assert sorted(rows) == [(n, min(nodes)) for n in sorted(nodes) if n != min(nodes)]
+
+
 def test_words_and_shingles():
     texts = ODD + ["A b c\x1cd", "end", "of text"]
     w = split(pa.array([t or "" for t in texts], pa.large_string()))
