@@ -1,11 +1,16 @@
 r"""Sanitisation of personal data by information theory. Native: DataFrame functions only.
 
 Protected entities are found by pattern: email, ip, card (16 to 19 digits passing Luhn), phone. From the corpus it is estimated how much a term
-near an entity reveals it. With n(e) documents that hold entity e, n(t) documents (of all N) that hold the term t and n(e,t) documents that hold
-t within REACH code points of e, the disclosure of e by t is PMI(e;t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / -log2(n(e) / N): 1 if t is never
-seen without e, 0 if they are independent. A term whose disclosure is at least `threshold`, in at least `support` different texts (copies count
-once here), is a span of kind `term` wherever it stands near e. sanitise() replaces protected spans by their kind, generalises terms to [TERM]
-and removes those that are never seen without the entity.
+near an entity reveals it. With n(e) documents that hold entity e and N documents in all, the disclosure of e by a term t is
+PMI(e;t) / IC(e) = 1 + log2 p(e|t) / -log2(n(e) / N): 1 if t is never seen without e, 0 if they are independent.
+
+p(e|t) is n(e,t) / n(t), of n(t) documents that hold t and n(e,t) documents that hold t within REACH code points of e, smoothed: seen in m different texts
+(copies count once here), it weighs m / (m + prior), its back-off prior / (m + prior). The back-off is p(kind|t) p(e|kind), with p(kind|t) smoothed likewise
+by the kind's share of all documents, and p(e|kind) e's share of the texts of its kind, with `prior` texts added for entities unseen. So an entity of one
+text loses terms too, in a corpus large enough that one text is evidence: with prior 1, p of a term of one text alone is about 1/2, which exceeds a
+threshold of 0.9 from about 1000 documents on; a term of more documents must be seen near the entity in a share of them that
+shrinks with IC(e). A term whose disclosure is at least `threshold` is a span of kind `term` wherever it stands near e. sanitise() replaces protected
+spans by their kind, generalises terms to [TERM] and removes those that are never seen without the entity.
 
 Terms are runs of three or more letters, lower-cased, outside protected spans. Work beyond one pass over all texts is in proportion to the
 entities found: co-occurrences are taken from windows, not from pairs within a document.
@@ -32,7 +37,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<=\P{L})\p{L}{3,}+(?=\P{L})"
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, THRESHOLD, SUPPORT = 120, 0.9, 3
+REACH, THRESHOLD, PRIOR = 120, 0.9, 1.0
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -93,42 +98,61 @@ def _terms(text: Column, spans: Column, start: Column, end: Column) -> Column:
     return F.concat(near(low, start), near(end, F.least(end + REACH, F.length(text).cast("long"))))
 
 
-def near_entities(found: DataFrame) -> DataFrame:
-    """A row for each term near an entity: __row, kind, entity, __copy (hash of the text), start, end, term."""
+def _entities(found: DataFrame) -> DataFrame:
+    """Documents with spans, a row for each: __row, __text, __spans, s, kind, entity (the span's value, normalised)."""
     norm = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
-    one = found.where(F.size("__spans") > 0).select("__row", "__text", "__spans", F.xxhash64("__text").alias("__copy"), F.explode("__spans").alias("s"))
-    terms = one.select("__row", "__copy", F.col("s.kind").alias("kind"), norm(F.col("s")).alias("entity"), F.explode(_terms(F.col("__text"), F.col("__spans"), F.col("s.start"), F.col("s.end"))).alias("t"))
-    return terms.select("__row", "__copy", "kind", "entity", "t.start", "t.end", "t.term")
-
-
-def disclosures(docs: DataFrame, near: DataFrame, total: int, support: int = SUPPORT, text: str = "text") -> DataFrame:
-    """kind, entity, term, disclosure, for pairs seen in at least `support` different texts; counts cover all documents."""
-    pairs = near.groupBy("kind", "entity", "term", "__copy").agg(F.countDistinct("__row").alias("n")).groupBy("kind", "entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_et")).where(F.col("texts") >= support)
-    entities = near.select("kind", "entity", "__row").distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
-    framed = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(framed, F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = saved(pairs.join(entities, ["kind", "entity"]), "pairs").join(words, "term")
+    one = found.where(F.size("__spans") > 0).select("__row", "__text", "__spans", F.explode("__spans").alias("s"))
+    return one.select("*", F.col("s.kind").alias("kind"), norm(F.col("s")).alias("entity"))
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """__row, kind, entity, first: which document holds which entity; first is 1 for one document of those with the same text, else 0."""
+    first = found.where(F.size("__spans") > 0).groupBy(F.xxhash64("__text")).agg(F.min("__row").alias("__row")).select("__row", F.lit(1).alias("first"))
+    return _entities(found).select("__row", "kind", "entity").distinct().join(first, "__row", "left").fillna(0, ["first"])
+
+
+def near_entities(found: DataFrame) -> DataFrame:
+    """A row for each term near an entity: __row, kind, entity, start, end, term."""
+    terms = _entities(found).select("__row", "kind", "entity", F.explode(_terms(F.col("__text"), F.col("__spans"), F.col("s.start"), F.col("s.end"))).alias("t"))
+    return terms.select("__row", "kind", "entity", "t.start", "t.end", "t.term")
+
+
+def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame, total: int, prior: float = PRIOR, text: str = "text") -> DataFrame:
+    """kind, entity, term, disclosure, alone (the term is never seen without the entity); counts cover all documents."""
+    seen = lambda n, m: (F.count("*").alias(n), F.sum("first").alias(m))
+    pairs = near.select("__row", "kind", "entity", "term").distinct().join(held, ["__row", "kind", "entity"]).groupBy("kind", "entity", "term").agg(*seen("n_et", "m_et"))
+    of_kind = held.select("__row", "kind", "first").distinct()
+    kind_terms = near.select("__row", "kind", "term").distinct().join(of_kind, ["__row", "kind"]).groupBy("kind", "term").agg(*seen("n_kt", "m_kt"))
+    entities = held.groupBy("kind", "entity").agg(*seen("n_e", "m_e"))
+    kinds = of_kind.groupBy("kind").agg(F.count("*").alias("n_k")).join(held.groupBy("kind").agg(F.sum("first").alias("m_k")), "kind")
+    framed = F.concat(F.lit(" "), F.col(text), F.lit(" "))
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(framed, F.lit(TERM), F.lit(0)), F.lower))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    of_term = saved(kind_terms, "kind-terms").join(words, "term")
+    joined = saved(pairs, "pairs").join(of_term, ["kind", "term"]).join(entities, ["kind", "entity"]).join(F.broadcast(kinds), "kind")  # `kinds` is four rows
     n = F.lit(float(total))
+    smooth = lambda share, m, back: (F.col(m) * share + prior * back) / (F.col(m) + prior)
+    of_kind_given_t = smooth(F.col("n_kt") / F.col("n_t"), "m_kt", F.col("n_k") / n)
+    p = smooth(F.col("n_et") / F.col("n_t"), "m_et", of_kind_given_t * F.col("m_e") / (F.col("m_k") + prior))
     ic = -F.log2(F.col("n_e") / n)
-    return joined.select("kind", "entity", "term", (F.log2(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))) / F.when(ic > 0, ic)).alias("disclosure"))
+    return joined.select("kind", "entity", "term", (1 + F.log2(p) / F.when(ic > 0, ic)).alias("disclosure"), (F.col("n_et") == F.col("n_t")).alias("alone"))
 
 
-def spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def spans(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns `keep` of docs, __text (of documents with spans) and __all: all spans, array of struct(kind, start, end, whole), by kind, then start."""
     numbered = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), protected(F.col(text)).alias("__spans"))
     found = saved(numbered.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text"))), "protected")
     near = saved(near_entities(found), "near")
-    risky = disclosures(docs, near, docs.count(), support, text).where(F.col("disclosure") >= threshold)
-    terms = near.join(saved(risky, "risky"), ["kind", "entity", "term"]).groupBy("__row", "start", "end").agg(F.max("disclosure").alias("d"))
-    of_row = terms.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("end"), (F.col("d") >= 1 - 1e-9).alias("whole")))).alias("__terms"))  # one document's own
+    risky = disclosures(docs, saved(holders(found), "holders"), near, docs.count(), prior, text).where(F.col("disclosure") >= threshold)
+    terms = near.join(saved(risky, "risky"), ["kind", "entity", "term"]).groupBy("__row", "start", "end").agg(F.max("alone").alias("alone"))
+    of_row = terms.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("end"), F.col("alone").alias("whole")))).alias("__terms"))  # one document's own
     as_span = lambda kind: lambda s: F.struct((s["kind"] if kind is None else F.lit(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(False) if kind is None else s["whole"]).alias("whole"))
     more = F.coalesce(F.transform("__terms", as_span("term")), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,whole:boolean>>"))
     return found.join(of_row, "__row", "left").select(*keep, "__text", F.concat(F.transform("__spans", as_span(None)), more).alias("__all"))
 
 
-def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, text: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR, text: str = "text") -> DataFrame:
     """docs with protected spans replaced by [EMAIL], [IP], [CARD], [PHONE], revealing terms by [TERM] or, if never seen without their entity, by nothing."""
-    found = spans(docs.withColumn("__own", F.col(text)), threshold, support, text, (*docs.columns, "__own"))
+    found = spans(docs.withColumn("__own", F.col(text)), threshold, prior, text, (*docs.columns, "__own"))
 
     def covered(body: Column) -> Column:
         def pieces(s: Column) -> Column:

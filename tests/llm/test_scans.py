@@ -105,6 +105,28 @@ def test_terms_that_reveal_an_entity(spark):
     assert not [s for r in pii.spans(spark.createDataFrame(few, "doc_id bigint, text string"), keep=("doc_id",)).collect() for s in r["__all"] if s["kind"] == "term"]
 
 
+def filler(rnd, n=12):
+    return " ".join(rnd.choice(["common", "words", "about", "things", "here", "there"]) for _ in range(n))
+
+
+def marked(spark, rows):
+    """The terms marked in each document."""
+    texts, df = dict(rows), spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {r.doc_id: {texts[r.doc_id][s["start"] : s["end"]] for s in r["__all"] if s["kind"] == "term"} for r in pii.spans(df, keep=("doc_id",)).collect()}
+
+
+def test_names_beside_rare_entities(spark):
+    rnd = random.Random(7)
+    rows = [(i, f"{filler(rnd)} {i}") for i in range(1500)]
+    rows += [(2000 + i, f"{filler(rnd)} other{i}@x.org {i}") for i in range(30)]
+    rows += [(3000, f"{filler(rnd)} Zorblax once@x.org {filler(rnd)}")]
+    rows += [(3001 + i, f"{filler(rnd)} Quibble twice@x.org {filler(rnd)}") for i in range(2)]
+    rows += [(3003 + i, f"{filler(rnd)} Thricely {i}") for i in range(40)] + [(3050, f"{filler(rnd)} Thricely lone@x.org")]
+    got = marked(spark, rows)
+    assert got[3000] == {"Zorblax"} and got[3001] == got[3002] == {"Quibble"} and got[3050] == set()
+    assert not any(got[i] for i, _ in rows if i < 3000)
+
+
 def test_op8(spark, tables):
     expect(urls.op8_url_filter(spark, DATA), urls.SQL["op8_url_filter"])
     rows = [(1, None), (2, "nonsense"), (3, "http://WWW.Example.com/en/x"), (4, "https://a.example.com/en/"), (5, "http://fr.net/fr/?a"), (6, "http://com"), (7, "http://com/"), (8, "http://xcheap-pills.org/"), (9, "http://www.cheap-pills.org/"), (9, "http://www.cheap-pills.org/"), (10, "http://net.org/es/#"), (11, "http://spam-farm.example.org/en/about"), (12, "http://user:pw@example.com/en/"), (13, "://x"), (14, "")]
