@@ -1,19 +1,20 @@
 r"""Sanitisation of personal data by information theory. Native: DataFrame functions only.
 
 Protected entities are found by pattern: email, ip, card (16 to 19 digits passing Luhn), phone. From the corpus it is estimated how much a term
-near an entity reveals it. With n(e) documents that hold entity e and N documents in all, the disclosure of e by a term t is
+in an entity's document reveals it. With n(e) documents that hold entity e and N documents in all, the disclosure of e by a term t is
 PMI(e;t) / IC(e) = 1 + log2 p(e|t) / -log2(n(e) / N): 1 if t is never seen without e, 0 if they are independent.
 
 p(e|t) is n(e,t) / n(t), of n(t) documents that hold t and n(e,t) documents that hold t within REACH code points of e, smoothed: seen in m different texts
 (copies count once here), it weighs m / (m + prior), its back-off prior / (m + prior). The back-off is p(kind|t) p(e|kind), with p(kind|t) smoothed likewise
 by the kind's share of all documents, and p(e|kind) e's share of the texts of its kind, with `prior` texts added for entities unseen. So an entity of one
 text loses terms too, in a corpus large enough that one text is evidence: with prior 1, p of a term of one text alone is about 1/2, which exceeds a
-threshold of 0.9 from about 1000 documents on; a term of more documents must be seen near the entity in a share of them that
-shrinks with IC(e). A term whose disclosure is at least `threshold` is a span of kind `term` wherever it stands near e. sanitise() replaces protected
-spans by their kind, generalises terms to [TERM] and removes those that are never seen without the entity.
+threshold of 0.9 from about 1000 documents on; a term of more documents must be seen with the entity in a share of them that
+shrinks with IC(e). A term whose disclosure is at least `threshold` is a span of kind `term` wherever it stands in a document that holds e; documents that
+hold the term without e keep it. sanitise() replaces protected spans by their kind, generalises terms to [TERM] and removes those that are
+never seen without the entity.
 
-Terms are runs of three or more letters, lower-cased, outside protected spans. Work beyond one pass over all texts is in proportion to the
-entities found: co-occurrences are taken from windows, not from pairs within a document.
+Terms are runs of three or more letters, lower-cased, outside protected spans. Work beyond one pass over all texts is on
+documents that hold entities: a row for each occurrence of a term, and for each pair of an entity and a distinct term of a document.
 
 Patterns are written so that matching takes linear time without recursion: possessive runs that start at the run's begin or the
 last match's end (\G), bounded repeats for cards, and a lazy run for an email's domain; their matches are those of the plain patterns.
@@ -37,7 +38,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"(?<=\P{L})\p{L}{3,}+(?=\P{L})"
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, THRESHOLD, PRIOR = 120, 0.9, 1.0
+THRESHOLD, PRIOR = 0.9, 1.0
+RUN, PLACES = 256, "array<struct<start:bigint,end:bigint,value:string>>"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -68,13 +70,16 @@ def places(text: Column, pattern: str) -> Column:
 
     def laid(found: Column) -> Column:
         def fold(gaps: Column) -> Column:
-            start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"))
+            # in runs of RUN matches, as appending copies what is there
+            state = lambda kind: F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
             step = lambda a, i: let(a["at"] + gaps[i], lambda s: F.struct((s + F.length(found[i])).alias("at"), F.array_append(a["out"], F.struct(s.alias("start"), (s + F.length(found[i])).alias("end"), found[i].alias("value"))).alias("out")))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+            one = lambda at, r: F.aggregate(F.sequence(r, F.least(r + RUN, F.size(found)) - 1), F.struct(at.alias("at"), F.array().cast(PLACES).alias("out")), step)
+            runs = lambda a, r: let(one(a["at"], r), lambda x: F.struct(x["at"].alias("at"), F.array_append(a["out"], x["out"]).alias("out")))
+            return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(RUN)), state(f"array<{PLACES}>"), runs, lambda a: a["out"]))
 
         return let(lengths(F.split(text, pattern, -1)), fold)
 
-    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), laid)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), laid)).otherwise(F.array().cast(PLACES))
 
 
 def protected(text: Column) -> Column:
@@ -90,39 +95,35 @@ def protected(text: Column) -> Column:
     return F.concat(emails, *(of(k) for k in RULES if k != "email"))
 
 
-def _terms(text: Column, spans: Column, start: Column, end: Column) -> Column:
-    """Terms near a span, outside protected ones: array of struct(start, end, term)."""
+def _terms(text: Column, spans: Column) -> Column:
+    """Terms outside protected spans: array of struct(start, end, term)."""
     framed = F.concat(F.lit(" "), text, F.lit(" "))  # so the text's code point i is the frame's i + 1
-    low = F.greatest(start - REACH, F.lit(0).cast("long"))
-    near = lambda a, b: F.filter(F.transform(places(framed.substr((a + 1).cast("int"), (b - a + 2).cast("int")), TERM), lambda m: F.struct((m["start"] + a - 1).alias("start"), (m["end"] + a - 1).alias("end"), F.lower(m["value"]).alias("term"))), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
-    return F.concat(near(low, start), near(end, F.least(end + REACH, F.length(text).cast("long"))))
-
-
-def _entities(found: DataFrame) -> DataFrame:
-    """Documents with spans, a row for each: __row, __text, __spans, s, kind, entity (the span's value, normalised)."""
-    norm = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
-    one = found.where(F.size("__spans") > 0).select("__row", "__text", "__spans", F.explode("__spans").alias("s"))
-    return one.select("*", F.col("s.kind").alias("kind"), norm(F.col("s")).alias("entity"))
+    found = F.transform(places(framed, TERM), lambda m: F.struct((m["start"] - 1).alias("start"), (m["end"] - 1).alias("end"), F.lower(m["value"]).alias("term")))
+    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"])))
 
 
 def holders(found: DataFrame) -> DataFrame:
     """__row, kind, entity, first: which document holds which entity; first is 1 for one document of those with the same text, else 0."""
-    first = found.where(F.size("__spans") > 0).groupBy(F.xxhash64("__text")).agg(F.min("__row").alias("__row")).select("__row", F.lit(1).alias("first"))
-    return _entities(found).select("__row", "kind", "entity").distinct().join(first, "__row", "left").fillna(0, ["first"])
+    norm = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
+    some = found.where(F.size("__spans") > 0)
+    one = some.select("__row", F.explode("__spans").alias("s")).select("__row", F.col("s.kind").alias("kind"), norm(F.col("s")).alias("entity")).distinct()
+    first = some.groupBy(F.xxhash64("__text")).agg(F.min("__row").alias("__row")).select("__row", F.lit(1).alias("first"))
+    return one.join(first, "__row", "left").fillna(0, ["first"])
 
 
-def near_entities(found: DataFrame) -> DataFrame:
-    """A row for each term near an entity: __row, kind, entity, start, end, term."""
-    terms = _entities(found).select("__row", "kind", "entity", F.explode(_terms(F.col("__text"), F.col("__spans"), F.col("s.start"), F.col("s.end"))).alias("t"))
-    return terms.select("__row", "kind", "entity", "t.start", "t.end", "t.term")
+def occurrences(found: DataFrame) -> DataFrame:
+    """A row for each place of a term in a document that holds an entity: __row, start, end, term."""
+    terms = found.where(F.size("__spans") > 0).select("__row", F.explode(_terms(F.col("__text"), F.col("__spans"))).alias("t"))
+    return terms.select("__row", "t.start", "t.end", "t.term")
 
 
-def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame, total: int, prior: float = PRIOR, text: str = "text") -> DataFrame:
+def disclosures(docs: DataFrame, held: DataFrame, places: DataFrame, total: int, prior: float = PRIOR, text: str = "text") -> DataFrame:
     """kind, entity, term, disclosure, alone (the term is never seen without the entity); counts cover all documents."""
     seen = lambda n, m: (F.count("*").alias(n), F.sum("first").alias(m))
-    pairs = near.select("__row", "kind", "entity", "term").distinct().join(held, ["__row", "kind", "entity"]).groupBy("kind", "entity", "term").agg(*seen("n_et", "m_et"))
+    terms = places.select("__row", "term").distinct()
+    pairs = terms.join(held, "__row").groupBy("kind", "entity", "term").agg(*seen("n_et", "m_et"))
     of_kind = held.select("__row", "kind", "first").distinct()
-    kind_terms = near.select("__row", "kind", "term").distinct().join(of_kind, ["__row", "kind"]).groupBy("kind", "term").agg(*seen("n_kt", "m_kt"))
+    kind_terms = terms.join(of_kind, "__row").groupBy("kind", "term").agg(*seen("n_kt", "m_kt"))
     entities = held.groupBy("kind", "entity").agg(*seen("n_e", "m_e"))
     kinds = of_kind.groupBy("kind").agg(F.count("*").alias("n_k")).join(held.groupBy("kind").agg(F.sum("first").alias("m_k")), "kind")
     framed = F.concat(F.lit(" "), F.col(text), F.lit(" "))
@@ -141,9 +142,10 @@ def spans(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR, t
     """The columns `keep` of docs, __text (of documents with spans) and __all: all spans, array of struct(kind, start, end, whole), by kind, then start."""
     numbered = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), protected(F.col(text)).alias("__spans"))
     found = saved(numbered.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text"))), "protected")
-    near = saved(near_entities(found), "near")
-    risky = disclosures(docs, saved(holders(found), "holders"), near, docs.count(), prior, text).where(F.col("disclosure") >= threshold)
-    terms = near.join(saved(risky, "risky"), ["kind", "entity", "term"]).groupBy("__row", "start", "end").agg(F.max("alone").alias("alone"))
+    where, held = saved(occurrences(found), "occurrences"), saved(holders(found), "holders")
+    risky = disclosures(docs, held, where, docs.count(), prior, text).where(F.col("disclosure") >= threshold)
+    of_doc = held.join(saved(risky, "risky"), ["kind", "entity"]).groupBy("__row", "term").agg(F.max("alone").alias("alone"))
+    terms = where.join(of_doc, ["__row", "term"])
     of_row = terms.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("end"), F.col("alone").alias("whole")))).alias("__terms"))  # one document's own
     as_span = lambda kind: lambda s: F.struct((s["kind"] if kind is None else F.lit(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(False) if kind is None else s["whole"]).alias("whole"))
     more = F.coalesce(F.transform("__terms", as_span("term")), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,whole:boolean>>"))

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.llm import media, pii, secrets, urls
 from tests.oracle import DATA, expect
@@ -127,6 +128,25 @@ def test_names_beside_rare_entities(spark):
     assert not any(got[i] for i, _ in rows if i < 3000)
 
 
+def test_terms_far_from_an_entity(spark):
+    """A revealing term is marked everywhere in a document that holds the entity, also when it never stands near it."""
+    rnd = random.Random(8)
+    rows = [(i, f"{filler(rnd)} {i}") for i in range(1500)]
+    rows += [(2000 + i, f"Zorblax {filler(rnd, 100)} bob@x.org {filler(rnd, 400)} ZORBLAX {i}") for i in range(4)]
+    rows += [(2100, f"{filler(rnd)} zorblax {filler(rnd)}")]
+    got = marked(spark, rows)
+    assert all(got[2000 + i] == {"Zorblax", "ZORBLAX"} for i in range(4)) and not any(got[i] for i, _ in rows if not 2000 <= i < 2004)
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(clean[2000 + i] == dict(rows)[2000 + i].replace("bob@x.org", "[EMAIL]").replace("Zorblax", "[TERM]").replace("ZORBLAX", "[TERM]") for i in range(4))
+
+
+def test_places_in_runs(spark):
+    text = "".join(f"{'é' * (i % 5)}ab{'b' * (i % 3)} " for i in range(1500))
+    for n in (0, 3, len(text)):
+        found = spark.createDataFrame([(text[:n],)], "text string").select(pii.places(F.col("text"), "ab+")).first()[0]
+        assert [(p.start, p.end, p.value) for p in found] == [(m.start(), m.end(), m[0]) for m in re.finditer("ab+", text[:n])]
+
+
 def test_op8(spark, tables):
     expect(urls.op8_url_filter(spark, DATA), urls.SQL["op8_url_filter"])
     rows = [(1, None), (2, "nonsense"), (3, "http://WWW.Example.com/en/x"), (4, "https://a.example.com/en/"), (5, "http://fr.net/fr/?a"), (6, "http://com"), (7, "http://com/"), (8, "http://xcheap-pills.org/"), (9, "http://www.cheap-pills.org/"), (9, "http://www.cheap-pills.org/"), (10, "http://net.org/es/#"), (11, "http://spam-farm.example.org/en/about"), (12, "http://user:pw@example.com/en/"), (13, "://x"), (14, "")]
