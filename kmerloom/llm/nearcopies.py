@@ -111,7 +111,7 @@ def _keep(key: str, kind: str):
     schema = f"{key} {kind}, n bigint, set binary, keys array<bigint>, counts array<int>"
     out = arrow(schema)
 
-    def fn(own: pa.Table, answers: pa.Table) -> pa.Table:
+    def kept(own: pa.Table, answers: pa.Table) -> pa.Table:
         rows = own.to_pylist()
         if not rows:
             return out.empty_table()
@@ -135,6 +135,11 @@ def _keep(key: str, kind: str):
             counts.append(c[order])
         return pa.table([pa.array(rows[0]["docs"], out.field(0).type), pa.array(n, pa.int64()), pa.array(s.hashes, pa.binary()), pa.array(keys, out.field(3).type), pa.array(counts, out.field(4).type)], schema=out)
 
+    def fn(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = kept(own, answers)
+        tidy()
+        return out
+
     return fn, schema
 
 
@@ -239,12 +244,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that have a smaller key in their component; rows that repeat a key and text become one."""
-    found = saved(classes(docs, key, text), "classes")
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    """docs with one document of each component: that of the smallest key, a null key last; of those with one key, that of the smallest hash of its text.
+
+    Rows are told apart by key and text, so what becomes of a row does not touch another with its key. Rows that repeat a key and text become one. A row with
+    a null key is dropped if it is a near copy of a kept one, and kept if it is not.
+    """
+    id_ = F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    found = saved(classes(docs.select(id_.alias("__id"), text), "__id", text), "classes")
+    gone = found.where(~F.col("__id").eqNullSafe(F.col("component_id"))).select(F.col("__id.key").alias("__key"), F.col("__id.hash").alias("__hash")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone  # else texts are shuffled for nothing
-    out = docs.join(gone, key, "left_anti").select(*docs.columns)
-    if found.groupBy(key).count().where("count > 1").isEmpty():
+    out = docs.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash")), "left_anti").select(*docs.columns)
+    if found.groupBy("__id").count().where("count > 1").isEmpty():
         return out
     own = out.withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"])
     return own.select(*docs.columns)

@@ -90,6 +90,14 @@ def test_deduplicate(spark, odd):
     assert nearcopies.deduplicate(odd.limit(0)).count() == 0
 
 
+def test_deduplicate_tells_rows_of_a_key_apart(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w, x: " ".join([*w[:-1], x])
+    rows = [(1, " ".join(a)), (5, near(a, "x")), (5, " ".join(b)), (None, near(a, "y")), (None, "no copy of anything"), (7, near(b, "z")), (8, near(b, "z"))]
+    out = {tuple(r) for r in nearcopies.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {rows[0], rows[2], rows[4]}
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
