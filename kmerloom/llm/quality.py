@@ -3,17 +3,18 @@ r"""Quality rules with adaptive thresholds from mergeable quantile sketches, one
 Native: DataFrame functions only. Each document's counts are taken once and written to the shared folder. A sketch is a table of counts by
 logarithmic bucket (relative error GAMMA - 1 over 2, exact zeros), so sketches merge by adding counts, in any order
 and with the same result; the sketch of a language is the sum of its sources', that of the corpus the sum of all. A group
-of fewer than `least` documents takes its language's thresholds, a language of fewer the corpus'.
+of n documents has the threshold (n * own + prior * parent's) / (n + prior): a small group leans on its language, a language on the corpus, and
+no document more or less changes that at a stroke.
 
-A metric's threshold is q75 + spread * (q75 - q25) + slack: it follows the bulk of the group; the slack keeps groups in which nearly all
+A sketch's own threshold is q75 + spread * (q75 - q25) + slack: it follows the bulk of the group; the slack keeps groups in which nearly all
 documents agree from rejecting whoever differs a little. A document is rejected if it fails the base rules or one metric exceeds its group's threshold.
 
 Metrics: symbols (of #*$%&|<> per word), caps (capital letters A-Z per character of a word), bangs (! per word), repeats (words in repeated 5-word windows per
 word), dup_lines (repeated lines per line), word_len (characters per word).
 
 Edge cases: null and empty texts have no words, hence fail the base rules; they take no part in the sketches. Null languages and sources are groups of
-their own. Texts are taken whole; repeated rows and ids are judged each by itself. rules() keeps documents' other columns; names that clash with
-its own are impossible, as all it adds is in one struct named by `as_`.
+their own. Texts are taken whole, very long ones too; repeated rows and ids are judged each by itself, ties (a value equal to its threshold) are kept. An empty table
+gives none. rules() keeps documents' other columns, whatever their names, but for one named as `as_`, which its result takes the place of.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ GAMMA = 1.02
 ZERO = -(1 << 30)
 #: Metric: slack.
 METRICS = {"symbols": 0.1, "caps": 0.3, "bangs": 0.3, "repeats": 0.25, "dup_lines": 0.5, "word_len": 6.0}
-SPREAD, LEAST = 3.0, 200
+SPREAD, PRIOR = 3.0, 20
 
 
 def let(value: Column, body) -> Column:
@@ -104,33 +105,36 @@ def limits(sketch: DataFrame, *by: str, spread: float = SPREAD) -> DataFrame:
     return each.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("metric") == k, limit + slack)).alias(k) for k, slack in METRICS.items()))
 
 
-def thresholds(sketch: DataFrame, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
-    """A row for each language and source: their own thresholds, or those of the language or corpus where they have too few documents."""
+def thresholds(sketch: DataFrame, prior: int = PRIOR, spread: float = SPREAD) -> DataFrame:
+    """A row for each language and source: its thresholds, leaning on its language's and the corpus' as much as `prior` documents of theirs weigh."""
     sketch = saved(sketch, "sketch")
     own = limits(sketch, "lang", "source", spread=spread).alias("o")
     lang = limits(merged(sketch, "lang"), "lang", spread=spread).alias("l")
     every = limits(merged(sketch.withColumn("every", F.lit(1)), "every"), "every", spread=spread).alias("e")
     joined = own.join(lang, F.col("o.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(every), F.lit(True), "left")  # `every` is one row
-    pick = lambda k: F.when(F.col("o.n") >= least, F.col(f"o.{k}")).when(F.col("l.n") >= least, F.col(f"l.{k}")).otherwise(F.col(f"e.{k}")).alias(k)
-    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *map(pick, METRICS))
+    lean = lambda p, k, parent: (F.col(f"{p}.n") * F.col(f"{p}.{k}") + prior * parent) / (F.col(f"{p}.n") + prior)
+    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *(lean("o", k, lean("l", k, F.col(f"e.{k}"))).alias(k) for k in METRICS))
 
 
-def rules(docs: DataFrame, as_: str = "quality", text: str = "text", keep: tuple[str, ...] | None = None, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
+def rules(docs: DataFrame, as_: str = "quality", text: str = "text", keep: tuple[str, ...] | None = None, prior: int = PRIOR, spread: float = SPREAD) -> DataFrame:
     """docs (or their columns `keep`) with a struct `as_`: counts, base_failed, limits and kept."""
-    counted = saved(docs.select(*(keep or docs.columns), counts(F.col(text)).alias(as_)), "counts")
-    found = saved(thresholds(sketches(counted, as_), least, spread), "thresholds")  # read back, so that its size decides how it is joined
-    t = found.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*METRICS).alias("__limits"))
-    joined = counted.join(t, counted["lang"].eqNullSafe(t["__lang"]) & counted["source"].eqNullSafe(t["__source"]), "left")
+    names = [c for c in keep or docs.columns if c != as_]
+    row = docs.select(F.struct(*names).alias("row"), F.col("lang").alias("lang"), F.col("source").alias("source"), counts(F.col(text)).alias("c"))
+    counted = saved(row, "counts")
+    found = saved(thresholds(sketches(counted, "c"), prior, spread), "thresholds")  # read back, so that its size decides how it is joined
+    t = found.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*METRICS).alias("limits"))
+    joined = counted.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     over = F.lit(False)
-    for k, v in _measures(F.col(as_)).items():
-        over = over | F.coalesce(v > F.col("__limits")[k], F.lit(False))
-    fields = [F.col(as_)[k].alias(k) for k in ("words", "lines", "word_chars", "n_symbols", "n_caps", "n_bangs")]
-    out = F.struct(*fields, F.col("__limits").alias("limits"), base_failed(F.col(as_)).alias("base_failed"), (~base_failed(F.col(as_)) & ~over).alias("kept"))
-    return joined.select(*(keep or docs.columns), out.alias(as_))
+    for k, v in _measures(F.col("c")).items():
+        over = over | F.coalesce(v > F.col("limits")[k], F.lit(False))
+    fields = [F.col("c")[k].alias(k) for k in ("words", "lines", "word_chars", "n_symbols", "n_caps", "n_bangs")]
+    failed = base_failed(F.col("c"))
+    out = F.struct(*fields, "limits", failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+    return joined.select(*(F.col("row")[c].alias(c) for c in names), out.alias(as_))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules(table(spark, sf_dir, "documents"), "q", keep=("doc_id", "lang", "source"))
+    out = rules(table(spark, sf_dir, "documents"), "q", keep=("doc_id",))
     return out.select("doc_id", F.col("q.words.n").alias("n_words"), "q.word_chars", "q.n_symbols", F.col("q.lines.dups").alias("n_dup_lines"), F.col("q.words.repeats").alias("n_repeat_words"), "q.base_failed", "q.kept")
 
 
@@ -156,7 +160,7 @@ m AS ({' UNION ALL '.join(f"SELECT id, lang, source, '{k}' AS metric, ({v})::DOU
 s AS (SELECT lang, source, 1 AS every, metric, CASE WHEN v > 0 THEN ceil(round(ln(v) / ln({GAMMA}::DOUBLE), 9))::INT ELSE {ZERO} END AS bucket, count(*) AS n FROM m WHERE v IS NOT NULL GROUP BY ALL),
 o AS ({quantiles('lang, source', 's')}), l AS ({quantiles('lang', '(SELECT lang, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)')}), e AS ({quantiles('every', '(SELECT every, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)')}),
 size AS (SELECT lang, source, max(n) AS n FROM o GROUP BY ALL), lsize AS (SELECT lang, max(n) AS n FROM l GROUP BY ALL),
-t AS (SELECT o.lang, o.source, o.metric, CASE WHEN size.n >= {LEAST} THEN {limit('o')} WHEN lsize.n >= {LEAST} THEN {limit('l')} ELSE {limit('e')} END AS lim
+t AS (SELECT o.lang, o.source, o.metric, (size.n * {limit('o')} + {PRIOR} * ((lsize.n * {limit('l')} + {PRIOR} * {limit('e')}) / (lsize.n + {PRIOR}))) / (size.n + {PRIOR}) AS lim
   FROM o JOIN size ON o.lang IS NOT DISTINCT FROM size.lang AND o.source IS NOT DISTINCT FROM size.source JOIN lsize ON o.lang IS NOT DISTINCT FROM lsize.lang
   JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN e ON o.metric = e.metric),
 bad AS (SELECT DISTINCT m.id FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric WHERE m.v > t.lim)
