@@ -6,10 +6,11 @@ the method's own: github (ghp_, gho_, ghu_, ghs_, ghr_ with 36 characters, whose
 before them in base 62), npm (npm_, the same scheme), pem (a private key block), jwt (three base64url parts whose
 first is a JSON object with "alg"). For each kind matches are leftmost and non-overlapping; a match that fails its check is dropped
 without another try inside it. Positions are code points, ends exclusive. `hex` has no keyword: its runs are found by their byte
-class in the whole batch, so that texts without one cost no pattern.
+class in the whole batch, so that texts without one cost no pattern. A hit of pem or jwt can reach far, so what lies ahead of it is found once for all hits that share it
+(the end of the run, the next END line), and a text of nothing but openings takes linear time.
 
 Edge cases: null and empty texts have no spans; texts of any length are scanned whole; rows are judged each by itself, so ties
-and repeated rows don't matter; in scan() other columns are left out, in redact() they stay as they are.
+and repeated rows don't matter; an empty table gives none; in scan() other columns are left out, in redact() they stay as they are.
 """
 
 from __future__ import annotations
@@ -47,23 +48,74 @@ def _sealed(m: re.Match) -> bool:
     return len(body) == 36 and base62_crc(body[:30]) == body[30:]
 
 
-def _jwt(m: re.Match) -> bool:
-    head = m[0].partition(".")[0]
+def _alg(head: str) -> bool:
+    """Whether a token's first part is a JSON object with "alg"."""
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
     except (ValueError, TypeError, RecursionError):
         return False
 
 
-_GITHUB = (re.compile(r"gh[pousr]_[A-Za-z0-9]+"), _sealed)
-#: Keyword (lower-cased): the kind, the pattern that must match at the hit, and its check.
-RULES: dict[str, tuple[str, re.Pattern, Callable[[re.Match], bool]]] = {
-    **{k: ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= MIN_VALUE) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")},
-    "akia": ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= MIN_ACCESS),
-    **{f"gh{c}_": ("github", *_GITHUB) for c in "pousr"},
-    "npm_": ("npm", re.compile(r"npm_[A-Za-z0-9]+"), _sealed),
-    "-----begin ": ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]+?-----END [A-Z ]*PRIVATE KEY-----"), lambda m: True),
-    "eyj": ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _jwt),
+class _Jwt:
+    """Matches at hits of one text, in order. All hits in one run of base64url meet the same end, so that is tried once."""
+
+    run, tail = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+
+    def __init__(self, text: str):
+        self.text, self.end, self.rest = text, -1, None
+
+    def match(self, at: int) -> tuple[int, bool] | None:
+        """The match's end, and whether it passes its check."""
+        if at >= self.end:
+            self.end = self.run.match(self.text, at).end()
+            self.rest = self.tail.match(self.text, self.end)
+        if not self.rest or self.end == at + 3 or self.text[at : at + 3] != "eyJ":
+            return None
+        return self.rest.end(), _alg(self.text[at : self.end])
+
+
+class _Pem:
+    """The same for private key blocks: a head, then key characters up to the next END line."""
+
+    head, tail, body = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----"), re.compile(r"[A-Za-z0-9+/=\s:,-]*")
+
+    def __init__(self, text: str):
+        self.text, self.reach, self.begin, self.end = text, -1, -1, -1
+
+    def match(self, at: int) -> tuple[int, bool] | None:
+        if not (m := self.head.match(self.text, at)):
+            return None
+        first = m.end() + 1  # a block holds something
+        if self.reach < m.end():
+            self.reach = self.body.match(self.text, m.end()).end()
+        if self.begin < first:
+            found = self.tail.search(self.text, first)
+            self.begin, self.end = found.span() if found else (len(self.text) + 1, -1)
+        return (self.end, True) if self.begin <= self.reach else None
+
+
+def _matcher(rx: re.Pattern, check: Callable[[re.Match], bool]):
+    class Matcher:
+        def __init__(self, text: str):
+            self.text = text
+
+        def match(self, at: int) -> tuple[int, bool] | None:
+            m = rx.match(self.text, at)
+            return (m.end(), check(m)) if m else None
+
+    return Matcher
+
+
+_ASSIGN = _matcher(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= MIN_VALUE)
+_SEALED = _matcher(re.compile(r"(?:gh[pousr]|npm)_[A-Za-z0-9]+"), _sealed)
+#: Keyword (lower-cased): the kind, and what matches at its hits.
+RULES: dict[str, tuple[str, type]] = {
+    **{k: ("assign", _ASSIGN) for k in ("password", "passwd", "secret", "token", "apikey", "api_key")},
+    "akia": ("access", _matcher(re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= MIN_ACCESS)),
+    **{f"gh{c}_": ("github", _SEALED) for c in "pousr"},
+    "npm_": ("npm", _SEALED),
+    "-----begin ": ("pem", _Pem),
+    "eyj": ("jwt", _Jwt),
 }
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IS_HEX = np.zeros(256, bool)
@@ -100,12 +152,16 @@ def spans(text: str, hexes: bool = True) -> list[tuple[int, int, str]]:
     """Start, end, kind of all secrets, by start, then kind."""
     found, last = [], {}
     low = text.lower() if text.isascii() else text.translate(_LOWER)
-    hits = sorted({(end - n + 1, kind, rx, check) for end, (n, kind, rx, check) in automaton().iter(low)}, key=lambda h: h[0])
-    for at, kind, rx, check in hits:
-        if at >= last.get(kind, 0) and (m := rx.match(text, at)):
-            last[kind] = m.end()
-            if check(m):
-                found.append((at, m.end(), kind))
+    tries: dict[str, object] = {}
+    for at, kind, matcher in sorted({(end - n + 1, kind, matcher) for end, (n, kind, matcher) in automaton().iter(low)}, key=lambda h: h[0]):
+        if at < last.get(kind, 0):
+            continue
+        if kind not in tries:
+            tries[kind] = matcher(text)
+        if m := tries[kind].match(at):
+            last[kind] = m[0]
+            if m[1]:
+                found.append((at, m[0], kind))
     if hexes:
         found += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
