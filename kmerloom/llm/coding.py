@@ -22,7 +22,3 @@ def unpack(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
     x = np.ascontiguousarray(body.reshape(width, n).T).view(kind).reshape(n)
     return np.cumsum(x, dtype=kind) if rising else x
 
-
-def buckets(keys: np.ndarray, count: int) -> np.ndarray:
-    """The bucket of each 64-bit key: ranges of equal width, so sorted keys have rising buckets."""
-    return ((keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)

@@ -5,15 +5,16 @@ A document's tokens are its words and an end, which is also the first word's con
 mod 10, is not 0. The weights of each bucket are learned by expectation-maximisation on the counts of fold HELD, which are deleted from the maximum-likelihood
 estimates meanwhile; the estimates used for scores are of all training documents.
 
-Counts are gathered without moving text: documents are cut into blocks, written once. Each block sends its distinct words and pairs (64-bit hashes, sorted, packed) with
-their counts to key ranges, so a pair as common as a third of all is one key for each block. Each range adds up its keys and answers
-every block with the totals of the keys it sent, and no others. Blocks then keep the counts that their tokens need: one
+Counts are gathered without moving text: documents are cut into blocks, written once. Each block sends its distinct words and pairs (hashes, sorted, packed) with
+their counts to key ranges, in levels as the module `exchange` says, so a pair as common as a third of all is one key for each block, and then for each group of blocks. Each range
+adds up its keys and answers with the totals of the keys that it was sent, and no others. Blocks then keep the counts that their tokens need: one
 pass a round of EM over the held-out tokens' counts, and one to score. What the driver sees are the buckets' weights and totals.
 
-Words are told apart by 64-bit hashes: among 10 million the chance of any two being taken for one is about 3 in a million. Pairs are by 52 bits of
-theirs: among 10^8 pairs one in 45 million shares its count with another.
+Words are told apart by 63-bit hashes: among 10 million the chance of any two being taken for one is about 6 in a million. A pair's key has SPARE bits
+more than number the corpus' tokens, up to 63: of any number of pairs at most about one in 2^24 shares its count with another. A context that was
+never seen (level 0) has no weight on its pairs, so all three estimates there are probabilities.
 
-Edge cases: null and empty texts are one end token. A null key counts as the empty text, whose crc32 is 0: held out. Repeated rows count each time they occur. With no training documents all is
+Edge cases: null and empty texts are one end token. Texts of any length are scored whole, a very long one as a block of its own. A null key counts as the empty text, whose crc32 is 0: held out. Repeated rows count each time they occur. With no training documents all is
 scored by L0 = 1 and V = 0. An empty table gives none. Other columns are left out.
 """
 
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .coding import buckets, pack, unpack
+from . import exchange
+from .coding import pack, unpack
 from .store import arrow, block_ids, column, discard, saved, slices, table, texts, tidy
 from .words import _ODD, mixed, split
 
@@ -35,7 +37,8 @@ FOLDS, HELD, BLOCK, PER_RANGE = 10, 1, 12 << 20, 2_000_000
 #: EM ends after ROUNDS or when no weight moves by more than STILL.
 ROUNDS, STILL, LEVELS = 20, 1e-3, 65
 _END = np.uint64(0x0123456789ABCDEF)
-SHIFT = np.uint64(12)
+#: Bits of a pair's key beyond those that number the corpus' tokens: the share of pairs that clash with another is at most one in 2**SPARE at any size.
+SPARE = 24
 
 
 def fold(key: object) -> int:
@@ -66,77 +69,46 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 class Keys:
-    """A block's distinct words (64 bits) and pairs (52 bits), each sorted, and their place for each token."""
+    """A block's distinct words and pairs as sorted keys, and the place of each token's among them.
 
-    def __init__(self, row: dict):
+    A pair's key is the upper bits of its hash, down to bit `shift`, which is 0; a word's is its hash with bit `shift` set.
+    """
+
+    def __init__(self, row: dict, shift: int):
         self.tokens, self.bounds = unpack(row["tokens"], np.uint32), unpack(row["bounds"], np.int64, True)
         self.folds = np.frombuffer(row["folds"], np.uint8)
         words = mixed(np.frombuffer(row["words"], np.uint64))
         context = np.empty_like(self.tokens)
         context[1:] = self.tokens[:-1]
         context[self.bounds[:-1]] = np.flatnonzero(words == mixed(np.array([_END]))[0])[0]
-        coded = pa.array(mixed(words[context] * _ODD[0] + words[self.tokens] * _ODD[1]) >> SHIFT).dictionary_encode()
-        self.words, place = self._sorted(words)
+        low = np.uint64(shift + 1)
+        coded = pa.array(mixed(words[context] * _ODD[0] + words[self.tokens] * _ODD[1]) >> low << low).dictionary_encode()
+        both = np.concatenate([words | np.uint64(1 << shift), coded.dictionary.to_numpy()])
+        self.keys, place = np.unique(both, return_inverse=True)
         self.word, self.word_context = place[self.tokens], place[context]
-        self.pairs, place = self._sorted(coded.dictionary.to_numpy())
-        self.pair = place[coded.indices.to_numpy()]
-
-    @staticmethod
-    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        return keys[order], place
-
-    def counts(self, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each word and each pair occurs in documents of these folds."""
-        on = np.repeat(folds, np.diff(self.bounds))
-        return tuple(np.bincount(x[on], minlength=len(k)).astype(np.uint32) for x, k in ((self.word, self.words), (self.pair, self.pairs)))
-
+        self.pair = place[len(words) + coded.indices.to_numpy()]
 
-ASKED = "bucket bigint, block bigint, words binary, word_train binary, word_held binary, pairs binary, pair_train binary, pair_held binary"
-ANSWERED = "block bigint, bucket bigint, word_train binary, word_held binary, pair_train binary, pair_held binary, vocabulary bigint"
+    def counts(self, folds: np.ndarray) -> np.ndarray:
+        """How often each key occurs in documents of these folds."""
+        on = np.repeat(folds, np.diff(self.bounds))
+        return (np.bincount(self.word[on], minlength=len(self.keys)) + np.bincount(self.pair[on], minlength=len(self.keys))).astype(np.uint64)
 
 
-def _ask(count: int):
-    out = arrow(ASKED)
+def _ask(fan: int, shift: int):
+    out = arrow(exchange.schema(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                k = Keys(row)
-                train, held = k.counts(k.folds > 0), k.counts(k.folds == HELD)
-                ends = [np.searchsorted(buckets(x, count), np.arange(count + 1)) for x in (k.words, k.pairs << SHIFT)]
-                some = np.flatnonzero(np.diff(ends[0]) + np.diff(ends[1]))
-                cols = [some, [row["block"]] * len(some)]
-                for kind, keys in enumerate((k.words, k.pairs)):
-                    part = [slice(ends[kind][b], ends[kind][b + 1]) for b in some]
-                    cols += [[pack(keys[p], True) for p in part], [pack(train[kind][p]) for p in part], [pack(held[kind][p]) for p in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, out, strict=True)], names=out.names)
+                k = Keys(row, shift)
+                sent = exchange.rows(row["block"], k.keys, [k.counts(k.folds > 0), k.counts(k.folds == HELD)], fan)
+                yield pa.RecordBatch.from_arrays([pa.array(sent[f.name], f.type) for f in out], names=out.names)
         tidy()
 
     return run
 
 
-def _totals(rows: dict, keys: str, kind: str) -> tuple[list[bytes], list[bytes], int]:
-    """The sums of the keys, as each block sent them, and how many occur in training."""
-    sent = [unpack(k, np.uint64, True) for k in rows[keys]]
-    coded = pa.array(np.concatenate(sent)).dictionary_encode()
-    at, n, ends = coded.indices.to_numpy(), len(coded.dictionary), np.cumsum([len(k) for k in sent])
-    total = [np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in rows[f"{kind}_{c}"]]), n).astype(np.uint64) for c in ("train", "held")]
-    back = [[pack(t[at[e - len(k) : e]]) for k, e in zip(sent, ends, strict=True)] for t in total]
-    return *back, int((total[0] > 0).sum())
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """Totals of a range's keys, for each block that sent them, in the order they were sent."""
-    rows = group.to_pydict()
-    train, held, vocabulary = _totals(rows, "words", "word")
-    pair_train, pair_held, _ = _totals(rows, "pairs", "pair")
-    return pa.table({"block": rows["block"], "bucket": rows["bucket"], "word_train": train, "word_held": held, "pair_train": pair_train, "pair_held": pair_held, "vocabulary": pa.array([vocabulary] + [0] * (len(train) - 1), pa.int64())})
-
-
-def _keep(key_kind: str):
+def _keep(key_kind: str, shift: int):
     schema = f"docs array<{key_kind}>, folds binary, bounds binary, word binary, pair binary, context_held binary, word_held binary, pair_held binary, vocabulary bigint"
     out = arrow(schema)
 
@@ -144,11 +116,10 @@ def _keep(key_kind: str):
         rows = own.to_pylist()
         if not rows:
             return out.empty_table()
-        k, a = Keys(rows[0]), answers.sort_by("bucket").to_pydict()
-        word, word_held, pair, pair_held = (np.concatenate([unpack(x, np.uint64) for x in a[c]]) for c in ("word_train", "word_held", "pair_train", "pair_held"))
-        on = np.repeat(k.folds == HELD, np.diff(k.bounds))
-        word_kept, pair_kept = word - word_held, pair - pair_held
-        row = [rows[0]["docs"], rows[0]["folds"], rows[0]["bounds"], pack(word[k.word]), pack(pair[k.pair]), pack(word_kept[k.word_context[on]]), pack(word_kept[k.word[on]]), pack(pair_kept[k.pair[on]]), sum(a["vocabulary"])]
+        k, a = Keys(rows[0], shift), answers.sort_by("range").to_pydict()
+        total, held = (np.concatenate([unpack(x, np.uint64) for x in a[c]]) for c in ("t0", "t1"))
+        on, kept = np.repeat(k.folds == HELD, np.diff(k.bounds)), total - held
+        row = [rows[0]["docs"], rows[0]["folds"], rows[0]["bounds"], pack(total[k.word]), pack(total[k.pair]), pack(kept[k.word_context[on]]), pack(kept[k.word[on]]), pack(kept[k.pair[on]]), sum(a["marked"])]
         return pa.table([pa.array([v], t.type) for v, t in zip(row, out, strict=True)], schema=out)
 
     return fn, schema
@@ -189,26 +160,35 @@ def learned(kept: DataFrame, n: int, v: int, rounds: int = ROUNDS) -> np.ndarray
             e[r.level] = [r.e0, r.e1, r.e2]
         whole = e.sum(axis=0) + 1e-3
         e += whole / whole.sum()  # a level without held-out tokens takes the weights of all
+        e[0, 0] = 0  # nothing follows a context that was never seen
         weights = e / e.sum(axis=1, keepdims=True)
         if np.abs(weights - now).max() < STILL:
             break
     return weights
 
 
+def _fixed(n: int) -> np.ndarray:
+    """Weights where no held-out token can teach them. n: training tokens."""
+    weights = np.tile([0.6, 0.3, 0.1] if n else [0.0, 0.0, 1.0], (LEVELS, 1))
+    if n:
+        weights[0] = [0.0, 0.75, 0.25]
+    return weights
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score (add-0.1 unigram), score: log10 probabilities."""
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     made = saved(blocks(docs, key, text), "lm-blocks")
-    size = made.agg(F.sum("n").alias("n"), F.sum("n_train").alias("train"), F.sum("n_held").alias("held")).first()
+    size = made.agg(F.sum("n").alias("n"), F.sum("n_train").alias("train"), F.sum("n_held").alias("held"), F.count("*").alias("blocks")).first()
     n, held = size.train or 0, size.held or 0
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (size.n or 0) // PER_RANGE))
-    asked = made.mapInArrow(_ask(count), ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED)
-    fn, schema = _keep(kind)
-    kept = saved(made.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fn, schema), "lm-counts")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * (size.n or 0) // PER_RANGE))
+    plan, shift = exchange.plan(ranges, size.blocks), max(0, 63 - SPARE - (size.n or 0).bit_length())
+    answers = exchange.totals(made.mapInArrow(_ask(plan.fan, shift), exchange.schema(2)), plan, 2, 1 << shift)
+    fn, schema = _keep(kind, shift)
+    kept = saved(made.groupBy("block").cogroup(answers.groupBy("unit")).applyInArrow(fn, schema), "lm-counts")
     discard(made)
     v = kept.agg(F.sum("vocabulary").alias("v")).first().v or 0
-    weights = learned(kept, n - held, v, rounds) if held else np.tile([0.6, 0.3, 0.1] if n else [0.0, 0.0, 1.0], (LEVELS, 1))
+    weights = learned(kept, n - held, v, rounds) if held else _fixed(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
