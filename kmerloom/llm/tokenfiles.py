@@ -1,16 +1,17 @@
 """Token-id files with keyed access by a minimal perfect hash.
 
-write() sorts documents by key over range partitions, encodes each partition and writes one shard: NNNNNN.ids, the raw
-ids (little-endian, 2 bytes where the vocabulary allows, else 4), and NNNNNN.idx: a header, the documents' keys and end offsets in order, and
+write() deals documents by key over range partitions of about SHARD bytes of text, so shards stay as small at any size, encodes each partition and writes one shard: an .ids file, the raw
+ids (little-endian, 2 bytes where the vocabulary allows, else 4), and an .idx file: a header, the documents' keys and end offsets in order, and
 the index: bucket displacements, and for each slot a 32-bit fingerprint of its key, the first document with that key and how
-many there are. The driver gets a row for each shard and writes manifest.json with the shards' first ids; files are
-written under a task attempt's name and then moved, so that a repeated task does no harm.
+many there are. The driver gets a row for each shard and writes manifest.json with the shards' files, first ids and keys. Files are named by shard and task
+attempt, and the manifest names both files of one attempt, so a repeated task does no harm.
 
 The hash is hash-and-displace: keys fall into buckets of about four; from the largest bucket on, the first displacement that sends all its keys to
 free slots is stored; buckets of one key store their slot itself. A lookup reads one displacement and one slot.
 
-Edge cases: null keys sort first and are found under None. Equal keys stay together: a lookup returns all their documents. Null and empty texts hold the
-end id alone. An empty table gives an empty manifest. Other columns are not stored.
+Edge cases: keys are integers, others raise TypeError; null keys sort first and are found under None. Equal keys stand side by side, also over several shards (a key of a third of all rows is dealt over
+as many as its bytes ask for): a lookup returns all their documents. Repeated rows are stored as often as they occur. Null and empty texts hold the
+end id alone; very long ones are stored whole. An empty table gives an empty manifest. Other columns are not stored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from .store import block_ids, column, shared, slices, table, texts
 from .tokens import default_path, encoder
 from .words import mixed
 
-MAGIC, HEAD, END, BUCKET = b"KLTOK01\0", "<8sIQQQ", 2, 4
+MAGIC, HEAD, END, BUCKET, SHARD = b"KLTOK01\0", "<8sIQQQ", 2, 4, 32 << 20
+#: Ids read at once.
+PART = 1 << 20
 _NULL = np.uint64(0xA5A5F00DDEADBEEF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,6 +136,8 @@ class Index:
 def write(docs: DataFrame, out: str | None = None, path: str | None = None, key: str = "doc_id", text: str = "text", end: int = END) -> str:
     """Write all documents under out (a URI; by default in the shared folder) and return it."""
     spark, path = docs.sparkSession, path or default_path("byte_bpe_50k.json")
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be an integer")
     out = out or shared(spark, "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,12 +146,12 @@ def write(docs: DataFrame, out: str | None = None, path: str | None = None, key:
         enc, shard = encoder(path, "byte"), next(block_ids()) >> 32
         width = 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 else 4
         files, top = pafs.FileSystem.from_uri(out)
-        name, temporary = f"{top}/{shard:06d}", f"{top}/{shard:06d}.{TaskContext.get().taskAttemptId()}"
+        name = f"{shard:06d}-{TaskContext.get().taskAttemptId()}"
         stream, keys, null, sizes = None, [], [], []
         for batch in slices(batches, name=text):
             if stream is None:
                 files.create_dir(top, recursive=True)
-                stream = files.open_output_stream(temporary + ".ids")
+                stream = files.open_output_stream(f"{top}/{name}.ids")
             ids, bounds = enc.ids(texts(batch, text))
             n = np.diff(bounds) + 1
             full = np.full(len(ids) + len(n), end, np.uint32)
@@ -160,16 +165,17 @@ def write(docs: DataFrame, out: str | None = None, path: str | None = None, key:
             stream.close()
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
             index = Index.build(width, np.concatenate(keys), np.concatenate(null), ends)
-            with files.open_output_stream(temporary + ".idx") as f:
+            with files.open_output_stream(f"{top}/{name}.idx") as f:
                 f.write(index.dump())
-            for x in (".ids", ".idx"):
-                files.move(temporary + x, name + x)
-            low = None if index.null[0] else int(index.keys[0])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.array([low], pa.int64())], names=["shard", "docs", "tokens", "first_key"])
-
-    by = F.col(key).asc_nulls_first()
-    ranged = docs.select(key, text).repartitionByRange(by).sortWithinPartitions(by)
-    shards = sorted((r.asDict() for r in ranged.mapInArrow(run, "shard bigint, docs bigint, tokens bigint, first_key bigint").collect()), key=lambda r: r["shard"])
+            key_at = lambda i: None if index.null[i] else int(index.keys[i])
+            row = {"shard": shard, "name": name, "docs": len(ends), "tokens": int(ends[-1]), "first_key": key_at(0), "last_key": key_at(-1)}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([(c, pa.string() if c == "name" else pa.int64()) for c in row]))
+
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    by, dealt = F.col(key).asc_nulls_first(), F.monotonically_increasing_id().alias("__dealt")  # deals equal keys
+    ranged = docs.select(F.col(key), F.col(text), dealt).repartitionByRange(-(-size // SHARD) or 1, by, F.col("__dealt")).sortWithinPartitions(by, F.xxhash64(text), "__dealt").select(key, text)
+    made = ranged.mapInArrow(run, "shard bigint, name string, docs bigint, tokens bigint, first_key bigint, last_key bigint").collect()
+    shards = sorted((r.asDict() for r in made), key=lambda r: r["shard"])
     begin = 0
     for r in shards:
         r["start"], begin = begin, begin + r["tokens"]
@@ -189,11 +195,11 @@ def manifest(out: str) -> list[dict]:
 class Shard:
     """One shard's files."""
 
-    def __init__(self, out: str, number: int):
+    def __init__(self, out: str, name: str):
         files, top = pafs.FileSystem.from_uri(out)
-        with files.open_input_stream(f"{top}/{number:06d}.idx") as f:
+        with files.open_input_stream(f"{top}/{name}.idx") as f:
             self.index = Index.load(f.read())
-        self.payload = files.open_input_file(f"{top}/{number:06d}.ids")
+        self.payload = files.open_input_file(f"{top}/{name}.ids")
 
     def read(self, begin: int, end: int) -> np.ndarray:
         """Ids begin:end as unsigned 32-bit integers."""
@@ -210,10 +216,10 @@ class Shard:
 
 
 def get(out: str, key: int | None) -> list[np.ndarray]:
-    """A document's ids by its key: the manifest gives the shard, the shard's index the range."""
-    shards = manifest(out)
-    at = next((s for s in reversed(shards) if s["first_key"] is None or key is not None and s["first_key"] <= key), None)
-    return Shard(out, at["shard"]).get(key) if at else []
+    """A document's ids by its key: the manifest gives the shards (more than one only where a key goes over their border), a shard's index the range."""
+    order = lambda k: (k is not None, k or 0)
+    at = [s for s in manifest(out) if order(s["first_key"]) <= order(key) <= order(s["last_key"])]
+    return [ids for s in at for ids in Shard(out, s["name"]).get(key)]
 
 
 def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
@@ -226,16 +232,18 @@ def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                shard = Shard(out, shards[i]["shard"])
+                shard = Shard(out, shards[i]["name"])
                 x = shard.index
                 new = np.ones(len(x.keys), bool)
                 new[1:] = (x.keys[1:] != x.keys[:-1]) | (x.null[1:] != x.null[:-1])
                 first, count = x.find(x.keys[new], x.null[new])
                 place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
                 begin, end = np.append(0, x.ends)[place], x.ends[place]
-                for a in range(0, len(place), 2000):
-                    part = slice(a, a + 2000)
-                    raw = [shard.read(int(b), int(e)).tobytes() for b, e in zip(begin[part], end[part], strict=True)]
+                cut = np.flatnonzero(np.diff(end // PART, prepend=-1))  # neighbours are read at once, about PART ids
+                for a, z in zip(cut, np.append(cut[1:], len(place)), strict=True):
+                    part, low = slice(a, z), int(begin[a])
+                    ids = shard.read(low, int(end[z - 1]))
+                    raw = [ids[b - low : e - low].tobytes() for b, e in zip(begin[part], end[part], strict=True)]
                     cols = [pa.array(x.keys[place[part]], pa.int64(), mask=x.null[place[part]]), shards[i]["start"] + begin[part], (end - begin)[part], [zlib.crc32(r) for r in raw], *[raw] * with_ids]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
