@@ -2,7 +2,7 @@
 
 The reader walks variable-length elements (ids of 1 to 4 bytes, sizes of 1 to 8, unknown sizes for Segment and Cluster), takes
 tracks, clusters, SimpleBlocks and BlockGroups, undoes Xiph, EBML and fixed-size lacing, and returns for each packet its
-track, timestamp and byte range in the file, besides the cues.
+track, timestamp and byte range in the file; cues make a table of their own, with the cluster that each names.
 
 The writer stores bytes as mono 8-bit PCM at 8 kHz: frames of FRAME bytes, up to LACE of them laced in a block (fixed-size
 lacing, or EBML lacing where the last frame is shorter), up to BLOCKS blocks in a cluster, a cue point for each cluster.
@@ -66,7 +66,8 @@ class Media:
     tracks: dict[int, Track] = field(default_factory=dict)
     packets: list[Packet] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)  #: time, track, absolute position of the cluster
-    clusters: list[int] = field(default_factory=list)
+    clusters: list[int] = field(default_factory=list)  #: first byte of each cluster's body
+    starts: list[int] = field(default_factory=list)  #: first byte of each cluster, which cues name
 
 
 def _vint(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int, int, int]:
@@ -163,7 +164,9 @@ def parse(data: bytes) -> Media:
 
 
 def _segment(data: bytes, base: int, end: int, out: Media) -> None:
+    begin = base
     for kind, at, to in _elements(data, base, end):
+        start, begin = begin, to
         if kind == INFO:
             out.scale = next((_uint(data, a, b) for k, a, b in _elements(data, at, to) if k == SCALE), out.scale)
         elif kind == TRACKS:
@@ -173,6 +176,7 @@ def _segment(data: bytes, base: int, end: int, out: Media) -> None:
                     out.tracks[track.number] = track
         elif kind == CLUSTER:
             out.clusters.append(at)
+            out.starts.append(start)
             _cluster(data, at, to, out)
         elif kind == CUES:
             for k, a, b in _elements(data, at, to):
@@ -330,6 +334,32 @@ def packet_table(files: DataFrame, key: str, data: str, strict: bool = True) ->
     return files.select(key, data).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, {PACKETS}")
 
 
+CUES_TABLE = "time_ns bigint, track bigint, cluster bigint, start bigint, error string"
+
+
+def cue_table(files: DataFrame, key: str, data: str, strict: bool = True) -> DataFrame:
+    """A row for each cue of each file: the key, its time and track, the number of the cluster it names (null if none begins there) and that cluster's first byte."""
+    names = [key, *(x.split()[0] for x in CUES_TABLE.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (blob := column(batch, data)[i].as_py()) is None:
+                    continue
+                try:
+                    m = parse(blob)
+                    number = {at: n for n, at in enumerate(m.starts)}
+                    rows = [(time * m.scale, track, number.get(at), at, None) for time, track, at in m.cues]
+                except MatroskaError as e:
+                    if strict:
+                        raise
+                    rows = [(*[None] * 4, str(e))]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([column(batch, key)[i].as_py()] * len(rows), column(batch, key).type), *(pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 4, pa.string()], strict=True))], names=names)
+
+    return files.select(key, data).mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, {CUES_TABLE}")
+
+
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text as a Matroska file: key, n_bytes, media."""
 
@@ -340,23 +370,39 @@ def stored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(key, text).mapInArrow(per_slice(one, name=text), f"{key} {dict(docs.dtypes)[key]}, n_bytes bigint, media binary")
 
 
+FEATURES = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+
+
+def measured(n_bytes: int, data: bytes) -> tuple:
+    """FEATURES of a stored file: the payload is read back by the packets' byte ranges."""
+    body = payload(data, media := parse(data))
+    return n_bytes, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature(media)
+
+
+def _rows(keys: pa.Array, rows: list[tuple], key: str) -> pa.RecordBatch:
+    fields = [x.split() for x in FEATURES.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.string() if t == "string" else pa.int64()) for c, (_, t) in zip(cols, fields, strict=True))], names=[key, *(n for n, _ in fields)])
+
+
 def features(files: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored files hold: the payload is read back by the packets' byte ranges."""
-    out = f"{key} {dict(files.dtypes)[key]}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    """What stored files hold: the key, FEATURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for blob in column(batch, "media"):
-                data = blob.as_py()
-                body = payload(data, media := parse(data))
-                rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature(media)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([column(batch, key), column(batch, "n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in out.split(", ")])
+            yield _rows(column(batch, key), [measured(n.as_py(), m.as_py()) for n, m in zip(column(batch, "n_bytes"), column(batch, "media"), strict=True)], key)
+
+    return files.mapInArrow(run, f"{key} {dict(files.dtypes)[key]}, {FEATURES}")
+
+
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """features(stored(docs)) in one step, so that the files do not leave the worker."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _rows(column(batch, key), [measured(len((s or "").encode()), mux(padded(s or ""))) for s in column(batch, text).to_pylist()], key)
 
-    return files.mapInArrow(run, out)
+    return docs.select(key, text).mapInArrow(per_slice(one, name=text), f"{key} {dict(docs.dtypes)[key]}, {FEATURES}")
 
 
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(stored(table(spark, sf_dir, "documents")))
+    return round_trip(table(spark, sf_dir, "documents"))
