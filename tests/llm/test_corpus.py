@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from kmerloom.llm import lm, nearcopies, packing, quality, secrets
+from kmerloom.llm import exchange, lm, nearcopies, packing, quality, secrets
 from kmerloom.llm.components import components
 from kmerloom.llm.coding import pack, unpack
 from kmerloom.llm.words import shingles, split
@@ -77,6 +77,8 @@ def test_rounds_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "FEW", 0)
     monkeypatch.setattr(nearcopies, "BLOCK", 2000)
     monkeypatch.setattr(nearcopies, "PER_RANGE", 500)
+    monkeypatch.setattr(nearcopies, "LIST", 10)
+    monkeypatch.setattr(exchange, "FAN", 4)
     docs = near_copies(3, groups=3)
     rows = nearcopies.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute_components(docs)
@@ -142,6 +144,45 @@ def test_words_and_shingles():
     assert unpack(pack(x, True), np.uint64, True).tolist() == x.tolist() and len(unpack(pack(x[:0]), np.uint64)) == 0
 
 
+@pytest.mark.parametrize("fan,ranges,depth", [(256, 8, 1), (4, 11, 2), (3, 20, 3)])
+def test_exchange_adds_up_at_any_depth(spark, monkeypatch, fan, ranges, depth):
+    """Each unit gets the totals of its keys, in their order, and distinct marked keys are counted once."""
+    monkeypatch.setattr(exchange, "FAN", fan)
+    rnd = np.random.default_rng(1)
+    pool = np.unique(rnd.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2))
+    pool[::7] |= np.uint64(1)
+    units = {u << 32 | 5: np.sort(rnd.choice(pool, int(rnd.integers(1, 200)), replace=False)) for u in range(40)}
+    counts = {u: [rnd.integers(0, 3, len(k)).astype(np.uint64) for _ in range(2)] for u, k in units.items()}
+    plan = exchange.plan(ranges, len(units))
+    assert plan.depth == depth and plan.fan**depth >= ranges
+    sent = [dict(zip(row, values, strict=True)) for u, k in units.items() for row in [exchange.rows(u, k, counts[u], plan.fan)] for values in zip(*row.values(), strict=True)]
+    asked = spark.createDataFrame([tuple(int(v) if isinstance(v, np.integer) else v for v in r.values()) for r in sent], exchange.schema(2))
+    got = exchange.totals(asked, plan, 2, 1).collect()
+    total = [collections.Counter(), collections.Counter()]
+    for u, k in units.items():
+        for i in range(2):
+            for key, n in zip(k.tolist(), counts[u][i].tolist(), strict=True):
+                total[i][key] += n
+    for u, k in units.items():
+        own = sorted((r for r in got if r.unit == u), key=lambda r: r.range)
+        for i in range(2):
+            assert np.concatenate([unpack(r[f"t{i}"], np.uint64) for r in own]).tolist() == [total[i][x] for x in k.tolist()]
+    assert sum(r.marked for r in got) == sum(1 for x, n in total[0].items() if x & 1 and n)
+
+
+def test_sets_that_merely_share_sentences_make_no_pairs(spark, monkeypatch):
+    """Texts drawn from a pool of sentences meet in long posting lists; those that can't link are no candidates."""
+    rnd = random.Random(9)
+    pool = [" ".join(f"s{i}w{j}" for j in range(15)) for i in range(40)]
+    docs = [(i, " ".join(rnd.sample(pool, 20))) for i in range(150)] + [(1000 + i, " ".join(pool[:20]) + f" x{i}") for i in range(3)]
+    made = []
+    real = nearcopies.left_over
+    monkeypatch.setattr(nearcopies, "left_over", lambda *a: made.append(real(*a)) or made[-1])
+    rows = nearcopies.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute_components(docs)
+    assert sum(f.count() for f in made) < 200  # of 11,000 pairs
+
+
 def brute_model(rows):
     folds = [zlib.crc32(b"" if d is None else str(d).encode()) % 10 for d, _ in rows]
     toks = [[*words(t), "\n"] for _, t in rows]
@@ -159,6 +200,7 @@ def brute_model(rows):
             e[level(k[a])] += share / share.sum()
         whole = e.sum(axis=0) + 1e-3
         e += whole / whole.sum()
+        e[0, 0] = 0
         new = e / e.sum(axis=1, keepdims=True)
         still = np.abs(new - weights).max() < 1e-3
         weights = new
@@ -168,8 +210,11 @@ def brute_model(rows):
     return sorted(((d, f == 0, len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(score(ps), 6)) for (d, _), f, t, ps in zip(rows, folds, toks, pairs, strict=True)), key=repr)
 
 
-def test_op1_is_brute_force(spark, tables, monkeypatch):
+@pytest.mark.parametrize("levels", [False, True])
+def test_op1_is_brute_force(spark, tables, monkeypatch, levels):
     monkeypatch.setattr(lm, "BLOCK", 3000)
+    if levels:
+        monkeypatch.setattr(exchange, "FAN", 3)
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["the", "cat", "sat", "on", f"x{rnd.randrange(40)}"]) for _ in range(rnd.randrange(30)))) for i in range(300)] + [(1000 + i, t) for i, t in enumerate(ODD)] + [(1000, None), (None, "the cat")]
     got = lm.op1_deleted_interpolation(spark, tables(rows, "doc_id bigint, text string")).collect()
@@ -226,6 +271,22 @@ def test_thresholds_follow_the_group(spark):
     assert merged.exceptAll(whole).isEmpty() and whole.exceptAll(merged).isEmpty()
 
 
+def test_a_document_more_flips_no_group(spark):
+    """Thresholds move little by little as a small group grows, and names that clash are kept."""
+    rows = [(i, f"word{i} and some more words that stand here for document {i} in source a", "en", "a", 0) for i in range(300)]
+    noisy = [(1000 + i, f"# word{i} | and # some | more # words | that # stand | here # for | document # {i}", "en", "b", 0) for i in range(30)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    limit = []
+    for n in range(15, 30):
+        df = spark.createDataFrame(rows + noisy[:n], schema)
+        t = quality.thresholds(quality.sketches(df.select("*", quality.counts(df.text).alias("q")), "q")).where("source = 'b'").first()
+        limit.append(t.symbols)
+    assert all(0 < b - a < 0.03 for a, b in zip(limit, limit[1:]))
+    odd = spark.createDataFrame([(1, rows[0][1], "en", "a", 5, 6, 7, 8, 9, 10)], "doc_id bigint, text string, lang string, source string, row int, c int, limits int, t_lang int, __lang int, quality int")
+    out = quality.rules(odd)
+    assert out.columns == odd.columns and out.first().quality.kept and tuple(out.first())[4:9] == (5, 6, 7, 8, 9)
+
+
 def test_op10_sql(spark):
     expect(quality.op10_quality_rules(spark, DATA), quality.SQL["op10_quality_rules"])
 
@@ -256,5 +317,23 @@ def test_pipeline(spark, tables):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "secrets", "packing"]
 
 
+def test_pipeline_of_odd_rows(spark, odd, tables):
+    """Nulls in any column, repeated rows, extra columns with clashing names."""
+    words_ = " ".join(f"w{i}" for i in range(40))
+    more = [(50, f"{words_} token=abcdef123", None, None, None, "x", None, None), (50, f"{words_} token=abcdef123", None, None, None, "x", None, None), (50, f"other {words_[:80]}", None, "s", 3, None, 1.0, [1]), (None, f"{words_} zz", "en", None, 1, "", 0.0, [])]
+    where = tables(odd.union(spark.createDataFrame(more, odd.schema)))
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert docs.columns == odd.columns
+        docs = spark.createDataFrame(docs.collect(), odd.schema)
+    assert sorted((r.doc_id, "token" in r.text, "[SECRET:assign]" in r.text) for r in docs.collect() if r.doc_id == 50) == [(50, False, False), (50, False, True)]
+    assert not [r for r in docs.collect() if r.doc_id is None]  # a near copy of document 50
+    total = collections.Counter()
+    for r in corpus_pipeline.run(spark, where).collect():
+        total[r.doc_id] += r.length
+    assert total.keys() == {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline_of_nothing(spark, tables):
     assert corpus_pipeline.run(spark, tables([])).count() == 0

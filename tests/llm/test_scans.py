@@ -87,7 +87,7 @@ def test_op2_base_is_the_plain_patterns(spark, odd, tables):
         assert r.base_sha256 == hashlib.sha256(base_pii(texts[r.doc_id]).encode()).hexdigest(), texts[r.doc_id][:100]
     rows = pii.op2_sanitise(spark, tables(odd)).collect()
     assert len(rows) == odd.count() and all(r.spans == "" for r in rows)
-    assert pii.spans(odd.limit(0), keep=("doc_id",)).count() == 0
+    assert pii.spans(odd.limit(0)).count() == 0
 
 
 def test_terms_that_reveal_an_entity(spark):
@@ -95,7 +95,7 @@ def test_terms_that_reveal_an_entity(spark):
     rows += [(10 + i, f"common words here about things filler{i % 3} alone {'common ' * (i % 4)}") for i in range(60)]
     rows += [(100, "Zorblax alone, without any address")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r["__all"]] for r in pii.spans(df, keep=("doc_id",)).collect()}
+    got = {r.row.doc_id: [(s["kind"], s["start"], s["end"]) for s in r["all"]] for r in pii.spans(df).collect()}
     texts = dict(rows)
     terms = lambda i: {texts[i][a:b] for k, a, b in got[i] if k == "term"}
     assert all("Zorblax" in terms(i) and "writes" in terms(i) and not terms(i) & {"common", "words", "about", "things"} for i in range(6))
@@ -103,7 +103,7 @@ def test_terms_that_reveal_an_entity(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "[EMAIL]" in clean[0] and "Zorblax" not in clean[0] and "bob@x.org" not in clean[0] and clean[100] == texts[100]
     few = [r for r in rows if r[0] >= 10 or r[0] < 1] + [(200 + i, rows[0][1]) for i in range(5)]  # exact copies of one text are one
-    assert not [s for r in pii.spans(spark.createDataFrame(few, "doc_id bigint, text string"), keep=("doc_id",)).collect() for s in r["__all"] if s["kind"] == "term"]
+    assert not [s for r in pii.spans(spark.createDataFrame(few, "doc_id bigint, text string")).collect() for s in r["all"] if s["kind"] == "term"]
 
 
 def filler(rnd, n=12):
@@ -113,7 +113,7 @@ def filler(rnd, n=12):
 def marked(spark, rows):
     """The terms marked in each document."""
     texts, df = dict(rows), spark.createDataFrame(rows, "doc_id bigint, text string")
-    return {r.doc_id: {texts[r.doc_id][s["start"] : s["end"]] for s in r["__all"] if s["kind"] == "term"} for r in pii.spans(df, keep=("doc_id",)).collect()}
+    return {r.row.doc_id: {texts[r.row.doc_id][s["start"] : s["end"]] for s in r["all"] if s["kind"] == "term"} for r in pii.spans(df).collect()}
 
 
 def test_names_beside_rare_entities(spark):

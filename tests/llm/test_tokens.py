@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from kmerloom.llm import bpe, packing, tokenfiles, tokens
@@ -101,6 +102,23 @@ def test_packer_keeps_every_id():
     assert all((back[i] == docs[i]).all() and seen[i] == len(docs[i]) for i in docs)
 
 
+@pytest.mark.parametrize("parts", [1, 8, 211])
+def test_placement_decides(parts):
+    """Over nine tenths of the ids of sf0.1 lie in the window where the rule put them, however the table is cut, and no window needs padding."""
+    enc, sizes = tokens.encoder(WORDS, "word"), []
+    for batch in pq.ParquetFile("/root/testdata/sf0.1/documents.parquet").iter_batches(1000, columns=["text"]):
+        _, bounds = enc.ids(batch.column(0).cast(pa.large_string()).fill_null(""))
+        sizes += (np.diff(bounds) + 1).tolist()
+    moved, total = 0, sum(sizes)
+    for part in np.array_split(np.array(sizes), parts):
+        p = packing.Packer()
+        done = [w for i, n in enumerate(part) for w in p.add(i, np.zeros(n, np.uint32))] + p.flush()
+        moved += p.moved
+        assert all(w.fill == sum(len(x.ids) for x in w.pieces) for w in done) and sum(w.fill for w in done) == part.sum()
+        assert all(w.fill == p.size or w.fill & w.fill - 1 == 0 for w in done) and sum(w.fill < p.size for w in done) <= 12
+    assert moved < 0.1 * total
+
+
 def test_op3(spark, odd, tables):
     tok = tokens.load(WORDS)
     df = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -148,5 +166,22 @@ def test_op6(spark, odd, tables, tmp_path):
         got = tokenfiles.get(out, k)
         assert len(got) == sum(1 for r in rows if r.doc_id == k) and all((g == wanted).all() for g in got)
     assert tokenfiles.get(out, 10**9) == []
+    with pytest.raises(TypeError):
+        tokenfiles.write(odd, key="text")
     assert tokenfiles.read(spark, out, with_ids=True).count() == len(rows)
     assert tokenfiles.read(spark, tokenfiles.write(odd.limit(0))).count() == 0
+
+
+def test_op6_hot_key_over_shards(spark, tmp_path, monkeypatch):
+    """A key of a third of all rows is dealt over several shards, and its documents are found in all of them."""
+    monkeypatch.setattr(tokenfiles, "SHARD", 2000)
+    tok = tokens.load(BYTE)
+    rows = [(7 if i % 3 == 0 else i, f"document number {i} " + "x " * (i % 50)) for i in range(300)]
+    out = tokenfiles.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), f"file://{tmp_path}/out")
+    at = [s for s in tokenfiles.manifest(out) if s["first_key"] <= 7 <= s["last_key"]]
+    assert len(at) > 2
+    of = lambda k: sorted(tok.encode(t, add_special_tokens=False).ids + [2] for i, t in rows if i == k)
+    for k in (7, 8, 299, 4, 3):
+        assert sorted(x.tolist() for x in tokenfiles.get(out, k)) == of(k)
+    found = sorted((r.doc_id, r.start, r.n_tokens) for r in tokenfiles.read(spark, out).collect())
+    assert len(found) == 300 and sum(x[2] for x in found) == sum(s["tokens"] for s in tokenfiles.manifest(out))
