@@ -10,8 +10,8 @@ their counts to key ranges, in levels as the module `exchange` says, so a pair a
 adds up its keys and answers with the totals of the keys that it was sent, and no others. Blocks then keep the counts that their tokens need: one
 pass a round of EM over the held-out tokens' counts, and one to score. What the driver sees are the buckets' weights and totals.
 
-Words are told apart by 63-bit hashes: among 10 million the chance of any two being taken for one is about 6 in a million. A pair's key has SPARE bits
-more than number the corpus' tokens, up to 63: of any number of pairs at most about one in 2^24 shares its count with another. A context that was
+Words are told apart by 64-bit hashes in a block, and words and pairs by keys over all: those have SPARE bits more than number the corpus' tokens, up to 63, so
+at any size at most about one key in 2^24 shares its count with another (in 10^8 tokens, with a million words, the chance that any two words do is one in 4,000). A context that was
 never seen (level 0) has no weight on its pairs, so all three estimates there are probabilities.
 
 Edge cases: null and empty texts are one end token. Texts of any length are scored whole, a very long one as a block of its own. A null key counts as the empty text, whose crc32 is 0: held out. Repeated rows count each time they occur. With no training documents all is
@@ -37,7 +37,7 @@ FOLDS, HELD, BLOCK, PER_RANGE = 10, 1, 12 << 20, 2_000_000
 #: EM ends after ROUNDS or when no weight moves by more than STILL.
 ROUNDS, STILL, LEVELS = 20, 1e-3, 65
 _END = np.uint64(0x0123456789ABCDEF)
-#: Bits of a pair's key beyond those that number the corpus' tokens: the share of pairs that clash with another is at most one in 2**SPARE at any size.
+#: Bits of a key beyond those that number the corpus' tokens: the share of keys that clash with another is at most one in 2**SPARE at any size.
 SPARE = 24
 
 
@@ -71,7 +71,7 @@ def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 class Keys:
     """A block's distinct words and pairs as sorted keys, and the place of each token's among them.
 
-    A pair's key is the upper bits of its hash, down to bit `shift`, which is 0; a word's is its hash with bit `shift` set.
+    A key is the upper bits of a hash, down to bit `shift`, which is 0 for pairs and 1 for words.
     """
 
     def __init__(self, row: dict, shift: int):
@@ -83,7 +83,7 @@ class Keys:
         context[self.bounds[:-1]] = np.flatnonzero(words == mixed(np.array([_END]))[0])[0]
         low = np.uint64(shift + 1)
         coded = pa.array(mixed(words[context] * _ODD[0] + words[self.tokens] * _ODD[1]) >> low << low).dictionary_encode()
-        both = np.concatenate([words | np.uint64(1 << shift), coded.dictionary.to_numpy()])
+        both = np.concatenate([words >> low << low | np.uint64(1 << shift), coded.dictionary.to_numpy()])
         self.keys, place = np.unique(both, return_inverse=True)
         self.word, self.word_context = place[self.tokens], place[context]
         self.pair = place[len(words) + coded.indices.to_numpy()]
