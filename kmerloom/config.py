@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -122,6 +123,16 @@ class Config:
 PRODUCTION = Config(31, 28, 16)
 
 
+def mebibytes(name: str, default: int) -> int:
+    """Bytes from an environment variable in MiB; the default where it is unset or empty."""
+    text = os.environ.get(name, "").strip()
+    if not text:
+        return default
+    if not text.isascii() or not text.isdigit():
+        raise InvalidArgumentError(f"{name} must be a whole number of MiB")
+    return int(text) << 20
+
+
 def bit_ceil(n: int) -> int:
     """The smallest power of two that is at least n."""
     return 1 if n <= 1 else 1 << (n - 1).bit_length()

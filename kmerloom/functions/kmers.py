@@ -55,10 +55,13 @@ def valid_runs(text: Column, config: Config) -> Column:
 
     def laid(both: Column) -> Column:
         found, gaps = both["found"], both["gaps"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
         begin = lambda a, i: a["at"] + gaps[i]
         step = lambda a, i: F.struct((begin(a, i) + F.length(found[i])).alias("at"), F.array_append(a["out"], F.struct(begin(a, i).alias("start"), F.encode(found[i], "ISO-8859-1").alias("run"))).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda a: a["out"])
+        # in parts of 256 runs, as appending copies what is there
+        part = lambda at, r: F.aggregate(F.sequence(r, F.least(r + 256, F.size(found)) - 1), F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step)
+        whole = lambda a, r: F.transform(F.array(part(a["at"], r)), lambda p: F.struct(p["at"].alias("at"), F.array_append(a["out"], p["out"]).alias("out")))[0]
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(found) - 1, F.lit(256)), start, whole, lambda a: a["out"]))
 
     both = F.struct(F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("found"), F.transform(F.split(text, rx, -1), F.length).alias("gaps"))
     return F.when(text.rlike(rx), F.transform(F.array(both), laid)[0])
@@ -101,7 +104,8 @@ def minimizer(kmer: Column, config: Config) -> Column:
 
 
 def shard(minimizer_hash: Column, num_shards: int) -> Column:
-    return minimizer_hash.bitwiseAND(F.lit(num_shards - 1))
+    """Never null: a join on it adds no filter that would compute it twice."""
+    return F.coalesce(minimizer_hash.bitwiseAND(F.lit(num_shards - 1)), F.lit(0).cast("long"))
 
 
 def smer_hashes(kmer: Column, config: Config) -> Column:

@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from kmerloom.config import Config, shards_for
 from kmerloom.errors import InvalidArgumentError
 from kmerloom.functions import kmers as K
+from kmerloom.functions import vector
+from kmerloom.session import saved
+
+from . import records as batches
 
 WORDS = ("w0", "w1", "w2", "w3")
 SCHEMA = "shard bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
 #: A filter of at most so many bytes is broadcast to probes; its size is known from its number of shards.
 BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 48
+#: Distinct k-mers that are broadcast, 8 bytes each and some more.
+FEW_KMERS = 1_000_000
 
 
 def from_blob(batch: DataFrame, blob: str = "sequence", ranges: str = "records", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -67,6 +73,12 @@ class KmerFilter:
 
     @classmethod
     def build(cls, records: DataFrame, config: Config, filter_bits: int, sequence: str = "sequence") -> KmerFilter:
+        n = shards_for(filter_bits)
+        return cls(config, n, vector.build(records, config, n, sequence))
+
+    @classmethod
+    def by_expressions(cls, records: DataFrame, config: Config, filter_bits: int, sequence: str = "sequence") -> KmerFilter:
+        """build() on Columns alone, without Python workers; the same shards."""
         n = shards_for(filter_bits)
         return cls(config, n, shards_of(masked(records, config, n, sequence)))
 
@@ -129,20 +141,43 @@ class KmerFilter:
     def contains_packed(self, kmers: DataFrame, packed: str = "packed") -> DataFrame:
         return self.probe(K.located(kmers, self.config, self.num_shards, packed)).drop("minimizer", "shard", "m0", "m1", "m2", "m3")
 
-    def query_records(self, records: DataFrame, key: str = "record_index", sequence: str = "sequence", hits: bool = False) -> DataFrame:
-        """A row for each record, also where it has no window: key, queried_bases, queried_kmers, positive_kmers; hits: array with 1 or 0 for every window."""
-        found = self.contains(records, key, sequence).where("hit = 1").groupBy(key)
-        positive = found.agg(F.count("*").alias("positive_kmers"), *[F.collect_list("pos").alias("__at")] * hits)  # positions of one record
-        out = records.select(key, F.col(sequence).alias("__s")).join(positive, key, "left")
-        n = K.kmer_count(F.col("__s"), self.config).cast("int")
-        ones = F.transform(F.array_sort(F.coalesce("__at", F.array().cast("array<int>"))), lambda x: x)
-        marks = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_contains(ones, i).cast("tinyint"))).otherwise(F.array().cast("array<tinyint>"))
-        return out.select(key, F.octet_length("__s").cast("long").alias("queried_bases"), K.valid_kmer_count(F.col("__s"), self.config).alias("queried_kmers"), F.coalesce("positive_kmers", F.lit(0)).cast("long").alias("positive_kmers"), *[marks.alias("hits")] * hits)
+    def query_records(self, records: DataFrame, key: str = "record_index", sequence: str = "sequence", hits: bool = False, held: int = vector.HELD_BYTES) -> DataFrame:
+        """A row for each record, also where it has no window: key, queried_bases, queried_kmers, positive_kmers; hits: array with 1 or 0 for every window.
+
+        A filter of at most `held` bytes goes to every worker; a larger one is joined by shard, a row for each run of neighbouring windows with one shard.
+        """
+        if self.num_shards * 32 <= min(held, vector.HELD_BYTES):
+            return vector.probe(records, vector.table(self.shards, self.num_shards), self.config, key, sequence, hits)
+        found = vector.looked_up(vector.runs(records, self.num_shards, self.config, key, sequence).join(self.shards, "shard", "left"), self.config)
+        of = found.groupBy("id").agg(F.max("k").alias(key), F.max("bases").alias("queried_bases"), F.max("windows").alias("n"), F.max("valid").alias("queried_kmers"), F.sum("positive").alias("positive_kmers"), *[F.flatten(F.collect_list("at")).alias("at")] * hits)
+        if hits:  # of one record: zeros up to each hit and after the last
+            at = F.concat(F.array(F.lit(-1)), F.array_sort("at"), F.array(F.col("n").cast("int")))
+            zeros = lambda n: F.array_repeat(F.lit(0).cast("tinyint"), n)
+            gaps = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: F.concat(zeros(a[i] - a[i - 1] - 1), F.when(i < F.size(a) - 1, F.array(F.lit(1).cast("tinyint"))).otherwise(zeros(0)))))[0]
+            of = of.withColumn("hits", F.flatten(gaps))
+        return of.select(key, "queried_bases", "queried_kmers", "positive_kmers", *["hits"] * hits)
 
     def query_report(self, records: DataFrame, key: str = "record_index", sequence: str = "sequence") -> DataFrame:
         """One row: records_queried, queried_bases, queried_kmers, positive_kmers."""
-        base = _report(records, self.config, sequence, ("records_queried", "queried_bases", "queried_kmers"))
-        return base.crossJoin(self.contains(records, key, sequence).agg(F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("positive_kmers")))  # one row each
+        zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+        return self.query_records(records, key, sequence).agg(F.count("*").alias("records_queried"), *map(zero, ("queried_bases", "queried_kmers", "positive_kmers")))
+
+    def query_batch(self, records: DataFrame, group: str = "batch", sequence: str = "sequence") -> DataFrame:
+        """group, hits: a mark for each window of a batch's joined text; windows over a separator are misses."""
+        joined = batches.joined_text(records, self.config, sequence, group)
+        return self.query_records(joined, group, "normalized", hits=True).select(group, "hits")
+
+    def query_batch_records(self, records: DataFrame, group: str = "batch", sequence: str = "sequence") -> DataFrame:
+        """group, record_index, hits: each record's slice of its batch's marks."""
+        where = batches.layout(batches.normalized(records, self.config, sequence, group), self.config, group)
+        cut = F.slice("hits", (F.col("hit_offset") + 1).cast("int"), F.col("hit_count").cast("int"))
+        return where.join(self.query_batch(records, group, sequence), group).select(group, "record_index", cut.alias("hits"))
+
+    def query_fastx(self, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For records of files (file, record_index, header, sequence): a row for each with its counts, and one with the totals."""
+        named = records.withColumn("__r", F.struct("file", "record_index", "header"))
+        rows = self.query_records(named, "__r").select("__r.*", "queried_bases", "queried_kmers", "positive_kmers")
+        return rows, self.query_report(records)
 
     def for_each(self, records: DataFrame, consume, key: str = "record_index", sequence: str = "sequence") -> dict:
         """Hand each record's row to consume in order of key; what it raises ends the query. Returns the totals."""
@@ -155,13 +190,37 @@ class KmerFilter:
         return totals
 
 
+def blocked(config: Config) -> Config:
+    """The plain blocked Bloom filter of the same k-mers and hashes: the block is chosen by the whole k-mer, and so are its bits."""
+    return replace(config, m=config.k, s=config.k)
+
+
+def any_count(count: Column) -> Column:
+    """A counting filter's answer as a hit."""
+    return (count > 0).cast("tinyint")
+
+
+def metrics(flt: KmerFilter, items: int) -> dict[str, float]:
+    """A filter's size, and how many bits it has for each of `items` k-mers."""
+    return {"filter_bits": flt.filter_bits, "memory_bytes": flt.size_bytes, "items": items, "bits_per_item": flt.filter_bits / items if items else 0.0}
+
+
 def exact_semi(queries: DataFrame, members: DataFrame, kmer: str = "packed") -> DataFrame:
     """Query k-mers that were inserted: the exact counterpart of a probe."""
-    return queries.join(members.select(kmer).distinct(), kmer, "left_semi")
+    return queries.join(_of_queries(queries, members, kmer), kmer, "left_semi")
 
 
 def exact_anti(queries: DataFrame, members: DataFrame, kmer: str = "packed") -> DataFrame:
-    return queries.join(members.select(kmer).distinct(), kmer, "left_anti")
+    return queries.join(_of_queries(queries, members, kmer), kmer, "left_anti")
+
+
+def _of_queries(queries: DataFrame, members: DataFrame, kmer: str) -> DataFrame:
+    """The distinct members that may be among the queries. Where the queries' distinct k-mers are few enough to broadcast, the others leave before the exchange."""
+    own = saved(queries.select(kmer).distinct(), "queried")
+    members = members.select(kmer)
+    if own.count() <= FEW_KMERS:
+        members = members.join(F.broadcast(own), kmer, "left_semi")
+    return members.distinct()
 
 
 def false_positive_rate(flt: KmerFilter, members: DataFrame, queries: DataFrame, packed: str = "packed") -> DataFrame:

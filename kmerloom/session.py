@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ResourceError
 
@@ -46,3 +46,11 @@ def shared(spark: SparkSession, name: str) -> str:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="kmerloom-")
         top = _own[app]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: no lineage, and its size is known."""
+    spark = df.sparkSession
+    path = shared(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

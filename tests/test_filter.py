@@ -3,8 +3,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kmerloom.config import DNA, DNA_TRIPLET, PRODUCTION, PROTEIN, Alphabet, Config, bits_for, kmers_for, shards_for
-from kmerloom.errors import InvalidArgumentError
+from kmerloom.config import DNA, DNA_TRIPLET, PRODUCTION, PROTEIN, Alphabet, Config, bits_for, kmers_for, mebibytes, shards_for
+from kmerloom.errors import InvalidArgumentError, ResourceError
 from kmerloom.functions import dense, kmers, vector
 from kmerloom.operators.filter import KmerFilter, attempted, from_blob, insert_report, masked
 from tests.scalar import Model
@@ -25,17 +25,17 @@ def hits(flt, spark, *seqs):
 
 
 CASES = [
-    (TEST, "ACGTACGTACGTACGT", "ACGTACGTACGTACGT", [1] * 12),
-    (TEST, "ACGTNACGTACGTA", "ACGTNACGTACGTA", [0, 0, 0, 0, 0, 1, 1, 1, 1, 1]),
-    (TEST, "ACGT", "ACGT", []),
-    (TEST, "acgtacgtacgtacgt", "ACGTACGTACGTACGT", [1] * 12),
-    (RESIDUE, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", [1] * 22),
-    (RESIDUE, "ACDE*ACDEFGHI", "ACDE*ACDEFGHI", [0, 0, 0, 0, 0, 1, 1, 1, 1]),
-    (TEST, "ACGTA\nACGTAC\n", "ACGTA\nACGTAC\n", [1, 0, 0, 0, 0, 0, 1, 1, 0]),
-    (CUSTOM, "xyz!xyz", "xyz!xyz", [1, 0, 0, 0, 1]),
-    (CODON, "ACGTACGTTAAACCCGGGTTT", "acgtacgttaaacccgggttt", [1] * 5),
-    (CODON, "ACGTACNNNGGGTTTAAA", "ACGTACNNNGGGTTTAAA", [0, 0, 0, 1]),
-    (CODON, "ACGTACGTTAAACCCGGGTTTAA", "ACGTACGTTAAACCCGGGTTTAA", [1] * 5),
+    (TEST, "GATTACAGATTACCA", "GATTACAGATTACCA", [1] * 11),
+    (TEST, "GATTANCAGATTACC", "GATTANCAGATTACC", [1, 0, 0, 0, 0, 0, 1, 1, 1, 1, 1]),
+    (TEST, "GATC", "GATC", []),
+    (TEST, "gattacagattacca", "GATTACAGATTACCA", [1] * 11),
+    (RESIDUE, "MKVLATWYQ", "mkvlatwyq", [1] * 5),
+    (RESIDUE, "MKVLA*TWYQGH", "MKVLA*TWYQGH", [1, 0, 0, 0, 0, 0, 1, 1]),
+    (TEST, "TTGAC\nCATGAT\n", "TTGAC\nCATGAT\n", [1, 0, 0, 0, 0, 0, 1, 1, 0]),
+    (CUSTOM, "zyx!yyz", "zyx!yyz", [1, 0, 0, 0, 1]),
+    (CODON, "GATTACAGATTACCATTG", "gattacagattaccattg", [1] * 4),
+    (CODON, "TTGACCNNNCATGATTAC", "TTGACCNNNCATGATTAC", [0, 0, 0, 1]),
+    (CODON, "GATTACAGATTACCATTGA", "GATTACAGATTACCATTGA", [1] * 4),
 ]
 
 
@@ -45,31 +45,31 @@ def test_hits(spark, cfg, insert, query, expected):
     assert hits(flt, spark, query) == [expected]
 
 
-@pytest.mark.parametrize("cfg,text,bits", [(TEST, "ACGTACGTACGTACGT", 21), (TEST, "ACGTNACGTACGTA", 21), (RESIDUE, "ACDE*ACDEFGHI", 23), (CODON, "ACGTACNNNGGGTTTAAA", 8)])
-def test_set_bits(spark, cfg, text, bits):
-    assert KmerFilter.build(records(spark, text), cfg, 1 << 12).load().first().set_bits == bits
+@pytest.mark.parametrize("cfg,text", [(c, i) for c, i, _, _ in CASES])
+def test_set_bits(spark, cfg, text):
+    model = Model(cfg, 1 << 12)
+    model.insert(text.encode())
+    assert KmerFilter.build(records(spark, text), cfg, 1 << 12).load().first().set_bits == sum(bin(w).count("1") for ws in model.shards.values() for w in ws)
 
 
 def test_load_factor_and_idempotence(spark):
-    one = KmerFilter.build(records(spark, "ACGTACGTACGTACGT"), TEST, 1 << 12)
-    assert one.load_factor() == 0.005126953125
-    assert one.insert(records(spark, "ACGTACGTACGTACGT")).load_factor() == one.load_factor()
-    assert one.clear().load_factor() == 0 and hits(one.clear(), spark, "ACGTACGTACGTACGT") == [[0] * 12]
-
-
-@pytest.mark.parametrize("h,bits", [(4, 176), (8, 325), (12, 440), (16, 529)])
-def test_production_lengths(spark, h, bits):
-    cfg, text = Config(31, 28, 16, h), "ACGTTGCAACGGTTAACCGTACGATCGATCGGATTACA" * 3
-    flt = KmerFilter.build(records(spark, text), cfg, 1 << 16)
-    assert flt.load().first().set_bits == bits
+    text = "GATTACAGATTACCATTGAC"
+    one = KmerFilter.build(records(spark, text), TEST, 1 << 12)
+    assert one.load_factor() == one.load().first().set_bits / 4096 > 0
+    assert one.insert(records(spark, text)).load_factor() == one.load_factor()
+    assert one.clear().load_factor() == 0 and hits(one.clear(), spark, text) == [[0] * 16]
+
+
+@pytest.mark.parametrize("h", [4, 8, 12, 16])
+def test_production_lengths(spark, h):
+    cfg, text = Config(31, 28, 16, h), "GATTACACCATTGACGGATCCTAGATTTACCAGGAT" * 3
+    model = Model(cfg, 1 << 16)
+    model.insert(text.encode())
+    expected = {s: tuple(w) for s, w in model.shards.items()}
+    unsigned = lambda df: {r.shard: tuple(x & (1 << 64) - 1 for x in (r.w0, r.w1, r.w2, r.w3)) for r in df.collect()}
+    flt, by = KmerFilter.build(records(spark, text), cfg, 1 << 16), KmerFilter.by_expressions(records(spark, text), cfg, 1 << 16)
+    assert unsigned(flt.shards) == unsigned(by.shards) == expected
     assert set(hits(flt, spark, text)[0]) == {1}
-    assert {r.shard: (r.w0, r.w1, r.w2, r.w3) for r in vector.build(records(spark, text), cfg, flt.num_shards).collect()} == {r.shard: (r.w0, r.w1, r.w2, r.w3) for r in flt.shards.collect()}
-
-
-def test_first_kmer_of_production(spark):
-    row = masked(records(spark, "ACGTTGCAACGGTTAACCGTACGATCGATCGGATTACA"), PRODUCTION, 256, "sequence").orderBy("pos").first()
-    assert (row.packed, row.minimizer, row.shard) == (553107022644979495, 1793265946046634330, 90)
-    assert [x & (1 << 64) - 1 for x in (row.m0, row.m1, row.m2, row.m3)] == [0xA000000000040001, 0x500040000000400, 0x800008010010000, 0x2000100000400008]
 
 
 @pytest.mark.parametrize("cfg", [TEST, RESIDUE, CODON, CUSTOM, Config(8, 6, 4, 12), Config(12, 10, 6, 4, PROTEIN), Config(32, 30, 29, 8)])
@@ -80,44 +80,84 @@ def test_three_ways_agree(spark, cfg):
     model = Model(cfg, 1 << 12)
     for t in texts[::2]:
         model.insert(t.encode())
-    flt = KmerFilter.build(records(spark, *texts[::2]), cfg, 1 << 12)
+    flt = KmerFilter.by_expressions(records(spark, *texts[::2]), cfg, 1 << 12)
     expected = {s: tuple(w) for s, w in model.shards.items()}
     unsigned = lambda rows: {r.shard: tuple(x & (1 << 64) - 1 for x in (r.w0, r.w1, r.w2, r.w3)) for r in rows}
     assert unsigned(flt.shards.collect()) == expected
     fast = vector.build(records(spark, *texts[::2]), cfg, flt.num_shards)
     assert unsigned(fast.collect()) == expected
     assert hits(flt, spark, *texts) == [model.hits(t.encode()) for t in texts]
+    joined = flt.query_records(records(spark, *texts, None), hits=True, held=0).orderBy("record_index").collect()
+    assert [r.hits for r in joined] == [model.hits(t.encode()) for t in texts] + [[]] and joined[-1].queried_bases is None
+    assert joined == flt.query_records(records(spark, *texts, None), hits=True).orderBy("record_index").collect()
     probed = vector.probe(records(spark, *texts), vector.table(fast, flt.num_shards), cfg).orderBy("record_index").collect()
     assert [(r.queried_kmers, r.positive_kmers) for r in probed] == [(sum(p is not None for p in model.windows(t.encode())), sum(model.hits(t.encode()))) for t in texts]
 
 
 def test_reports(spark):
-    r = records(spark, "ACGTNACGTACGTA", "TGCATGCATGCA", "", "AC")
+    r = records(spark, "GATTANCAGATTACC", "TTGACCATGATT", "", "GA")
     flt = KmerFilter.build(r, TEST, 1 << 12)
-    assert tuple(insert_report(r, TEST).first()) == (4, 28, 13)
-    assert attempted(r, TEST).first().attempted == 18
-    assert tuple(flt.query_report(r).first()) == (4, 28, 13, 13)
+    assert tuple(insert_report(r, TEST).first()) == (4, 29, 14)
+    assert attempted(r, TEST).first().attempted == 19
+    assert tuple(flt.query_report(r).first()) == (4, 29, 14, 14)
     seen = []
-    assert flt.for_each(r, seen.append) == {"records_queried": 4, "queried_bases": 28, "queried_kmers": 13, "positive_kmers": 13}
+    assert flt.for_each(r, seen.append) == {"records_queried": 4, "queried_bases": 29, "queried_kmers": 14, "positive_kmers": 14}
     assert [x.record_index for x in seen] == [0, 1, 2, 3]
     with pytest.raises(RuntimeError):
         flt.for_each(r, lambda row: (_ for _ in ()).throw(RuntimeError("stop")))
-    assert tuple(flt.query_report(r).first()) == (4, 28, 13, 13)
+    assert tuple(flt.query_report(r).first()) == (4, 29, 14, 14)
     assert tuple(flt.query_report(records(spark).limit(0)).first()) == (0, 0, 0, 0)
 
 
+def test_plan_computes_shards_once(spark):
+    """Joining on the shard adds no filter that would compute it again below the aggregate."""
+    r = records(spark, "GATTACAGATTACCA")
+    plan = KmerFilter.by_expressions(r, TEST, 1 << 12).contains(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(least" not in plan and "isnotnull(shard" not in plan
+
+
+def test_hits_of_a_long_record(spark):
+    rng = np.random.default_rng(8)
+    text = "".join(np.array(list("ACGT"))[rng.integers(0, 4, 1_000_000)])
+    flt = KmerFilter.build(records(spark, text[:400_000]), PRODUCTION, 1 << 23)
+    for held in (0, vector.HELD_BYTES):
+        row = flt.query_records(records(spark, text), hits=True, held=held).first()
+        assert len(row.hits) == 999_970 and row.hits[:399_970] == [1] * 399_970 and sum(row.hits) == row.positive_kmers < 420_000
+
+
+def test_limits(monkeypatch, spark):
+    monkeypatch.setattr(vector, "HELD_BYTES", 1000)
+    with pytest.raises(ResourceError):
+        vector.table(KmerFilter.empty(spark, TEST, 1 << 20).shards, 4096)
+    monkeypatch.setenv("SOME_MIB", "3")
+    assert mebibytes("SOME_MIB", 7) == 3 << 20 and mebibytes("NO_SUCH_MIB", 7) == 7
+    monkeypatch.setenv("SOME_MIB", "3.5")
+    with pytest.raises(InvalidArgumentError):
+        mebibytes("SOME_MIB", 7)
+
+
+def test_seeded_hash():
+    import xxhash
+
+    keys = np.array([0, 1, 2**64 - 1], np.uint64)
+    assert vector.xxhash64(keys, 7).tolist() == [xxhash.xxh64_intdigest(int(k).to_bytes(8, "little"), 7) for k in keys]
+
+
 def test_accumulation_and_batches(spark):
-    flt = KmerFilter.build(records(spark, "ACGTACGTACGTACGT"), TEST, 1 << 14).insert(records(spark, "TGCATGCATGCATGCA"))
-    assert hits(flt, spark, "ACGTACGTACGTACGT", "TGCATGCATGCATGCA") == [[1] * 12, [1] * 12]
-    blob = spark.createDataFrame([("ACGTACGTACGTNTTGGAACCTTGG", [(0, 12), (13, 12)])], "sequence string, records array<struct<sequence_offset:bigint,sequence_bytes:bigint>>")
+    flt = KmerFilter.build(records(spark, "GATTACAGATTACCA"), TEST, 1 << 14).insert(records(spark, "TTGACCATGATT"))
+    assert hits(flt, spark, "GATTACAGATTACCA", "TTGACCATGATT") == [[1] * 11, [1] * 8]
+    blob = spark.createDataFrame([("GATTACAGATTANTTGACCATGATT", [(0, 12), (13, 12)])], "sequence string, records array<struct<sequence_offset:bigint,sequence_bytes:bigint>>")
     two = from_blob(blob)
     assert attempted(two, TEST).first().attempted == 16
     flt = KmerFilter.build(two, TEST, 1 << 14)
-    assert hits(flt, spark, "ACGTACGTACGTNTTGGAACCTTGG") == [[1] * 8 + [0] * 5 + [1] * 8]
+    assert hits(flt, spark, "GATTACAGATTANTTGACCATGATT") == [[1] * 8 + [0] * 5 + [1] * 8]
+    batch = two.selectExpr("7 AS batch", "record_index", "sequence")
+    assert flt.query_batch(batch).first().hits == [1] * 8 + [0] * 5 + [1] * 8
+    assert [r.hits for r in flt.query_batch_records(batch).orderBy("record_index").collect()] == [[1] * 8, [1] * 8]
 
 
 def test_saved_and_merged(spark, tmp_path):
-    flt = KmerFilter.build(records(spark, "ACGTACGTACGTACGT"), TEST, 1 << 12)
+    flt = KmerFilter.build(records(spark, "GATTACAGATTACCA"), TEST, 1 << 12)
     flt.save(str(tmp_path / "f"))
     assert KmerFilter.open(spark, TEST, 1 << 12, str(tmp_path / "f")).load_factor() == flt.load_factor()
     with pytest.raises(InvalidArgumentError):
@@ -134,7 +174,7 @@ def test_sizes_and_conditions():
     assert (DNA.bits, DNA_TRIPLET.bits, PROTEIN.bits) == (2, 6, 5) and (DNA.max_k, DNA_TRIPLET.max_k, PROTEIN.max_k) == (32, 10, 12)
 
 
-@pytest.mark.parametrize("cfg,text", [(TEST, "ACGTACGTACGTACGTACGTACGT" * 3), (RESIDUE, "ACDEFGHIKLMNPQRSTVWYACDEF")])
+@pytest.mark.parametrize("cfg,text", [(TEST, "GATTACACCATTGACGGATCCTAG" * 3), (RESIDUE, "MKVLATWYQGHPRNDCEFISMKVLA")])
 def test_dense(spark, cfg, text):
     df = records(spark, text).select("record_index", dense.pack(F.col("sequence"), cfg.alphabet).alias("words"), F.lit(len(text)).cast("long").alias("n"))
     assert [x & (1 << 64) - 1 for x in df.first().words] == vector.pack_dense(text.encode(), cfg).tolist()
@@ -158,7 +198,7 @@ def test_vector_windows_of_nulls_and_empty():
 
 
 def test_super_kmers(spark):
-    k = masked(records(spark, "ACGTACGTTTGACCANACGTACGGTTAAC"), TEST, 16, "sequence", "record_index").select("record_index", "pos", "shard")
+    k = masked(records(spark, "GATTACACCATTGACNGGATCCTAGATTA"), TEST, 16, "sequence", "record_index").select("record_index", "pos", "shard")
     rows = sorted((r.pos, r.shard) for r in k.collect())
     runs = []
     for pos, shard in rows:
