@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kmerloom.session import saved
+
 KEYS = ("s", "m", "h")
+PARTS = 200
 
 
 def throughput(items_per_second: Column) -> Column:
@@ -43,14 +46,18 @@ def skyline(points: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> Data
     """points with `pareto`: no other point is at most as large in both and smaller in one (both are minimised).
 
     In order of x, then y, a point is dominated if a point before its x has a y of at most its own, or one of the same x a smaller y; so one sort
-    replaces the comparison of all pairs.
+    replaces the comparison of all pairs. Distinct x are ordered within PARTS ranges of them; what comes before a range is a row for each.
     """
-    part = Window.partitionBy(*by)
     per_x = points.groupBy(*by, x).agg(F.min(y).alias("__low"))
-    before = per_x.withColumn("__before", F.min("__low").over(part.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)))
+    ranged = saved(per_x.repartitionByRange(PARTS, x).withColumn("__part", F.spark_partition_id()), "skyline")
+    part = ranged.groupBy(*by, "__part").agg(F.min("__low").alias("__least"))
+    upto = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    part = part.withColumn("__earlier", F.min("__least").over(upto)).drop("__least")
+    own = Window.partitionBy(*by, "__part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.withColumn("__own", F.min("__low").over(own)).join(F.broadcast(part) if not by else part, [*by, "__part"]).withColumn("__before", F.least("__own", "__earlier"))
     out = points.join(before, [*by, x])
     dominated = F.coalesce(F.col("__before") <= F.col(y), F.lit(False)) | (F.col("__low") < F.col(y))
-    return out.withColumn("pareto", ~dominated).drop("__low", "__before").select(*points.columns, "pareto")
+    return out.withColumn("pareto", ~dominated).select(*points.columns, "pareto")
 
 
 def pivoted(metrics: DataFrame, row: str, column: str, values: list, metric: str) -> DataFrame:
@@ -70,31 +77,29 @@ def series_order(metrics: DataFrame, series: str, value: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("top"), series)))  # a row a series
 
 
-def parsed_names(rows: DataFrame, name: str = "name") -> DataFrame:
-    """Benchmark names `fixture/op/size_..._aggregate` and K_S_M_H parameters as columns."""
+def parsed_names(rows: DataFrame, name: str = "name", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Benchmark names `fixture/op/size_..._aggregate` and K_S_M_H parameters as columns, and the columns `keep`."""
     n = F.col(name)
     number = lambda tag: F.regexp_extract(n, f"(?:^|[^A-Za-z0-9]){tag}(\\d+)", 1).try_cast("long").alias(tag.lower())
     return rows.select(
         n, F.regexp_extract(n, r"^([^/]+)", 1).alias("fixture"), F.regexp_extract(n, r"(Insert|Query|FPR)", 1).alias("operation"), F.regexp_extract(n, r"/(\d+)(?:/|_|$)", 1).try_cast("long").alias("size"),
-        *map(number, ("K", "S", "M", "H")), F.regexp_extract(n, r"_(mean|median|stddev|cv)$", 1).alias("aggregate"),
+        *map(number, ("K", "S", "M", "H")), F.regexp_extract(n, r"_(mean|median|stddev|cv)$", 1).alias("aggregate"), *keep,
     )
 
 
-#: Prefix of a benchmark's name: the filter it is about.
-FILTERS = (("ShardedBloomCpu", "cpu_sharded_bloom"), ("ShardedBloom", "sharded_bloom"), ("BlockedBloom", "blocked_bloom"), ("Cuckoo", "cuckoo"), ("Quotient", "quotient"), ("TwoChoice", "two_choice"))
-
-
-def filter_name(name: Column) -> Column:
-    """The filter of a benchmark's name, by its first fitting prefix; else the name in lower case."""
+def labelled(name: Column, prefixes: dict[str, str]) -> Column:
+    """What the first fitting prefix stands for; else the name in lower case."""
     out = F.lower(name)
-    for prefix, label in reversed(FILTERS):
+    for prefix, label in reversed(prefixes.items()):
         out = F.when(name.startswith(prefix), F.lit(label)).otherwise(out)
     return out
 
 
-def selected(rows: DataFrame, operations: tuple[str, ...] = ("Insert", "Query")) -> DataFrame:
-    """Median rows of the given operations without missing values."""
-    return parsed_names(rows).where(F.col("name").endswith("_median") & F.col("operation").isin(*operations)).dropna(subset=["operation"])
+def selected(rows: DataFrame, operations: tuple[str, ...] = ("Insert", "Query"), values: tuple[str, ...] = ()) -> DataFrame:
+    """Median rows of the given operations whose `values` are all there (neither null nor NaN), with the name's parts."""
+    for v in values:
+        rows = rows.where(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+    return parsed_names(rows, keep=values).where(F.col("name").endswith("_median") & F.col("operation").isin(*operations))
 
 
 def stacked(*tables: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def test_names(spark):
     r = analysis.parsed_names(df).collect()
     assert (r[0].fixture, r[0].operation, r[0].size, r[0].k, r[0].s, r[0].m, r[0].h, r[0].aggregate) == ("ShardedBloomCpu<K31_S28_M16_H4>", "Insert", 65536, 31, 28, 16, 4, "median")
     assert (r[1].operation, r[1].k, r[1].aggregate) == ("", None, "mean") and analysis.selected(df).count() == 1
-    assert [x[0] for x in df.select(analysis.filter_name(F.col("name"))).collect()] == ["cpu_sharded_bloom", "other/build/1_mean"]
+    assert [x[0] for x in df.select(analysis.labelled(F.col("name"), {"ShardedBloomCpu": "on the host", "Sharded": "sharded"})).collect()] == ["on the host", "other/build/1_mean"]
 
 
 def test_stacked_and_shares(spark):
