@@ -7,10 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.config import DNA, DNA_TRIPLET, PROTEIN, Config, shards_for
+from kmerloom.config import DNA, DNA_TRIPLET, PROTEIN, Alphabet, Config, bits_for, shards_for
 from kmerloom.functions import dense, kmers, vector
 from kmerloom.operators import analysis, records
-from kmerloom.operators.filter import WORDS, KmerFilter, exact_anti, exact_semi, false_positive_rate, insert_report, masked
+from kmerloom.operators.filter import WORDS, KmerFilter, any_count, attempted, blocked, exact_anti, exact_semi, false_positive_rate, insert_report, masked, metrics
 from kmerloom.session import shared, ship
 from kmerloom.sources import fastx
 from kmerloom.streaming import streams
@@ -67,6 +67,19 @@ _windows("protein", docs, DOCS, RESIDUES)
 _windows("dna", orders, ORDERS, BASES)
 _windows("triplet", orders, ORDERS, CODONS)
 
+#: An alphabet of the user's own: hex digits, over the keys' hashes as they are.
+HEX = Config(10, 7, 4, 4, Alphabet("hex", {ord(c): int(c, 16) for c in "0123456789abcdefABCDEF"}, 16, "-"))
+HEXES = "SELECT o_orderkey AS key, md5(o_orderkey::VARCHAR) || '-' || md5('x' || o_orderkey) AS seq FROM orders"
+
+
+def hexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.md5(c.cast("binary"))
+    key = F.col("o_orderkey").cast("string")
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.concat_ws("-", digest(key), digest(F.concat(F.lit("x"), key))).alias("seq"))
+
+
+_windows("custom", hexes, HEXES, HEX)
+
 
 @query("record_kmer_counts", f"WITH r AS (SELECT key, {sql.as_bytes('seq')} AS b FROM ({DOCS})) SELECT key, length(b)::BIGINT AS bytes, length(b)::BIGINT AS symbols, greatest(length(b) - {RESIDUES.k - 1}, 0)::BIGINT AS attempted, {sql.valid_count(RESIDUES)} AS valid FROM r")
 def record_kmer_counts(spark, d):
@@ -97,7 +110,7 @@ def kmer_distinct(spark, d):
 
 
 def _packed(source: DataFrame, cfg: Config, *keep: str) -> DataFrame:
-    return kmers.windows(source, cfg, "seq", *keep).select(*keep, kmers.packed(F.col("kmer"), cfg).alias("packed"))
+    return kmers.windows(source, cfg, "seq", *(c for c in keep if c != "pos")).select(*keep, kmers.packed(F.col("kmer"), cfg).alias("packed"))
 
 
 @query("minimizer_shards", f"WITH {sql.located(BASES, SHARDS, ORDERS)} SELECT key, pos, {sql.signed('mini')} AS minimizer, shard FROM win_l")
@@ -169,7 +182,39 @@ def query_records_hits(spark, d):
 
 @query("query_vectorised", f"WITH {_TWO}, {_RECORDS} SELECT r.key, {sql.valid_count(RESIDUES)} AS queried_kmers, coalesce(pos.n, 0)::BIGINT AS positive_kmers FROM r LEFT JOIN pos ON r.key = pos.key")
 def query_vectorised(spark, d):
-    return vector.probe(bench(spark, d), vector.table(vector.build(docs(spark, d), RESIDUES, SHARDS, "seq"), SHARDS), RESIDUES, "key", "seq")
+    words = vector.table(vector.build(docs(spark, d), RESIDUES, SHARDS, "seq"), SHARDS)
+    return vector.probe(bench(spark, d), words, RESIDUES, "key", "seq").drop("queried_bases")
+
+
+@query("query_records_joined", f"WITH {_TWO}, {_RECORDS}, hit_at AS (SELECT key, list(pos) AS ps FROM probe WHERE hit GROUP BY key) SELECT r.key, length(b)::BIGINT AS queried_bases, {sql.valid_count(RESIDUES)} AS queried_kmers, coalesce(pos.n, 0)::BIGINT AS positive_kmers, array_to_string(list_transform(range(0, greatest(length(b) - {RESIDUES.k - 1}, 0)), lambda i: CASE WHEN list_contains(coalesce(ps, []), i::INT) THEN '1' ELSE '0' END), '') AS hits FROM r LEFT JOIN hit_at ON r.key = hit_at.key LEFT JOIN pos ON r.key = pos.key")
+def query_records_joined(spark, d):
+    rows = _of_docs(spark, d).query_records(bench(spark, d), "key", "seq", hits=True, held=0)
+    return rows.withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ""))
+
+
+@query("record_sink", f"WITH {_TWO}, {_RECORDS} SELECT r.key, coalesce(pos.n, 0)::BIGINT AS positive_kmers FROM r LEFT JOIN pos ON r.key = pos.key")
+def record_sink(spark, d):
+    rows: list[tuple] = []
+    total = _of_docs(spark, d).for_each(bench(spark, d), lambda r: rows.append((r["key"], r["positive_kmers"])), "key", "seq")
+    assert total["records_queried"] == len(rows)
+    return spark.createDataFrame(rows, "key bigint, positive_kmers bigint")
+
+
+@query("stream_probe", f"WITH {_TWO} SELECT key, pos, hit::TINYINT AS hit FROM probe")
+def stream_probe(spark, d):
+    source, out = shared(spark, "probe-stream"), shared(spark, "probe-hits")
+    bench(spark, d).repartition(4).write.parquet(source)
+    stream = spark.readStream.schema("key bigint, seq string").option("maxFilesPerTrigger", 2).parquet(source)
+    hits = streams.probe_stream(stream, _of_docs(spark, d), "key", "seq")
+    hits.writeStream.format("parquet").option("checkpointLocation", shared(spark, "offsets")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("key bigint, pos int, hit tinyint").parquet(out)
+
+
+@query("counting_filter_hits", f"WITH {sql.packed(RESIDUES, DOCS, 'win')}, {sql.packed(RESIDUES, BENCH, 'q')}, n AS (SELECT p, count(*) AS n FROM win_p GROUP BY p) SELECT key, pos, coalesce(n, 0)::BIGINT AS n, (coalesce(n, 0) > 0)::TINYINT AS hit FROM q_p LEFT JOIN n USING (p)")
+def counting_filter_hits(spark, d):
+    counts = kmers.spectrum(_packed(docs(spark, d), RESIDUES))
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    return _packed(bench(spark, d), RESIDUES, "key", "pos").join(counts, "packed", "left").select("key", "pos", n.alias("n"), any_count(n).alias("hit"))
 
 
 @query("query_report", f"WITH {_TWO}, {_RECORDS} SELECT count(*) AS records_queried, sum(length(b))::BIGINT AS queried_bases, sum({sql.valid_count(RESIDUES)})::BIGINT AS queried_kmers, (SELECT count(*) FILTER (hit) FROM probe)::BIGINT AS positive_kmers FROM r")
@@ -182,6 +227,20 @@ def report_of_insert(spark, d):
     return insert_report(docs(spark, d), RESIDUES, "seq")
 
 
+@query("attempted_windows", f"SELECT sum(greatest(length(b) - {RESIDUES.k - 1}, 0))::BIGINT AS attempted FROM (SELECT {sql.as_bytes('seq')} AS b FROM ({DOCS}))")
+def attempted_windows(spark, d):
+    return attempted(docs(spark, d), RESIDUES, "seq")
+
+
+@query("filter_metrics", f"""WITH n AS (SELECT sum({sql.valid_count(RESIDUES)})::BIGINT AS items FROM (SELECT {sql.as_bytes('seq')} AS b FROM ({DOCS}))),
+b AS (SELECT items, list_min(list_filter(list_transform(range(0, 62), lambda i: 1::BIGINT << i::INT), lambda x: x >= items * 16)) AS filter_bits FROM n)
+SELECT filter_bits, filter_bits // 8 AS memory_bytes, items, filter_bits / items::DOUBLE AS bits_per_item FROM b""")
+def filter_metrics(spark, d):
+    n = insert_report(docs(spark, d), RESIDUES, "seq").first().inserted_kmers
+    m = metrics(KmerFilter.empty(spark, RESIDUES, bits_for(n)), n)
+    return spark.createDataFrame([tuple(m.values())], "filter_bits bigint, memory_bytes bigint, items bigint, bits_per_item double")
+
+
 _UNION = f"WITH {sql.located(RESIDUES, SHARDS, f'{DOCS} UNION ALL {BENCH}')}, {sql.built()} SELECT {_SET_BITS}::BIGINT AS set_bits FROM flt"
 
 
@@ -221,15 +280,39 @@ def exact_anti_join(spark, d):
 
 
 _FPR = Config(8, 6, 4, 4, DNA)
+_OTHERS = "SELECT o_custkey AS key, translate(md5('c' || o_custkey), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM orders"
 
 
-@query("false_positive_rate", f"""WITH {sql.located(_FPR, 64, ORDERS, 'win')}, {sql.built()}, {sql.located(_FPR, 64, "SELECT o_custkey AS key, translate(md5('c' || o_custkey), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM orders", 'q')},
+def _fpr_sql(cfg: Config) -> str:
+    return f"""WITH {sql.located(cfg, 64, ORDERS, 'win')}, {sql.built()}, {sql.located(cfg, 64, _OTHERS, 'q')},
 out AS (SELECT DISTINCT p, shard, m0, m1, m2, m3 FROM q_l WHERE p NOT IN (SELECT p FROM win_p)), probe AS (SELECT {sql.HIT} AS hit FROM out LEFT JOIN flt USING (shard))
-SELECT count(*) AS queries, count(*) FILTER (hit) AS false_positives, count(*) FILTER (hit) * 100.0::DOUBLE / count(*) AS fpr_percentage FROM probe""")
-def fpr(spark, d):
+SELECT count(*) AS queries, count(*) FILTER (hit) AS false_positives, count(*) FILTER (hit) * 100.0::DOUBLE / count(*) AS fpr_percentage FROM probe"""
+
+
+def _fpr(spark, d, cfg: Config) -> DataFrame:
     other = _table(spark, d, "orders").select(F.translate(F.md5(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
-    flt = KmerFilter.build(orders(spark, d), _FPR, 64 * 256, "seq")
-    return false_positive_rate(flt, _packed(orders(spark, d), _FPR), _packed(other, _FPR))
+    flt = KmerFilter.build(orders(spark, d), cfg, 64 * 256, "seq")
+    return false_positive_rate(flt, _packed(orders(spark, d), cfg), _packed(other, cfg))
+
+
+@query("false_positive_rate", _fpr_sql(_FPR))
+def fpr(spark, d):
+    return _fpr(spark, d, _FPR)
+
+
+#: Filters of one size with longer and longer s-mers, and the plain blocked Bloom filter.
+_LADDER = {f"s={s}": replace(_FPR, s=s) for s in (5, 6, 7)} | {"blocked": blocked(_FPR)}
+
+
+@query("fpr_ladder", " UNION ALL ".join(f"SELECT '{n}' AS filter, * FROM ({_fpr_sql(c)})" for n, c in _LADDER.items()))
+def fpr_ladder(spark, d):
+    rows = [_fpr(spark, d, c).select(F.lit(n).alias("filter"), "*") for n, c in _LADDER.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query("blocked_bloom_build", f"WITH {sql.located(blocked(RESIDUES), SHARDS, BENCH)}, {sql.built()} SELECT shard, {_SHARD_COLUMNS} FROM flt")
+def blocked_bloom_build(spark, d):
+    return KmerFilter.build(bench(spark, d), blocked(RESIDUES), BITS, "seq").shards
 
 
 _DENSE = f"d AS (SELECT key, seq, length(seq) AS n, list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN strpos('ACTG', substr(seq, i::INT, 1)) > 0 THEN (strpos('ACTG', substr(seq, i::INT, 1)) - 1)::UBIGINT ELSE 3::UBIGINT END) AS c FROM ({ORDERS}))"
@@ -255,6 +338,11 @@ def dense_kmers(spark, d):
     return packed.select("key", F.posexplode(dense.packed_kmers(F.col("words"), F.col("symbols"), BASES)).alias("pos", "packed"))
 
 
+@query("insert_dense", f"WITH {sql.located(BASES, SHARDS, ORDERS.replace('ACGTACGTACGTACGN', 'ACGTACGTACGTACGG'))}, {sql.built()} SELECT shard, {_SHARD_COLUMNS} FROM flt")
+def insert_dense(spark, d):
+    return KmerFilter.of_packed(dense_kmers(spark, d), BASES, BITS).shards
+
+
 def _batches(spark, d) -> DataFrame:
     """Order lines' keys as batches of records: one batch an order."""
     dna = F.translate(F.substring(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber").cast("binary")), 1, 3 + 3 * 2), "0123456789abcdef", "ACGTACGTACGTACGN")
@@ -304,6 +392,30 @@ def batch_from_blob(spark, d):
     return from_blob(blob.withColumn("sequence", F.col("sequence")), keep=("batch",))
 
 
+_JOINED = f"""{_META}, {sql.located(_SHORT, 64, f"SELECT batch AS key, sequence AS seq FROM ({_RECORD_BATCHES}) WHERE batch % 2 = 0")}, {sql.built()},
+{sql.located(_SHORT, 64, f"SELECT batch AS key, string_agg(sequence, 'N' ORDER BY record_index) AS seq FROM ({_RECORD_BATCHES}) GROUP BY batch", 'q')},
+hit_at AS (SELECT key, list(pos) FILTER ({sql.HIT}) AS ps FROM q_l LEFT JOIN flt USING (shard) GROUP BY key),
+flat AS (SELECT q_b.key AS batch, array_to_string(list_transform(range(0, greatest(length(b) - 4, 0)), lambda i: CASE WHEN list_contains(coalesce(ps, []), i::INT) THEN '1' ELSE '0' END), '') AS hits FROM q_b LEFT JOIN hit_at ON q_b.key = hit_at.key)"""
+
+
+def _of_even(spark, d) -> KmerFilter:
+    return KmerFilter.build(_batches(spark, d).where("batch % 2 = 0"), _SHORT, 64 * 256)
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ""))
+
+
+@query("batch_hits", f"WITH {_JOINED} SELECT batch, hits FROM flat")
+def batch_hits(spark, d):
+    return _marks(_of_even(spark, d).query_batch(_batches(spark, d)))
+
+
+@query("batch_hit_slices", f"WITH {_JOINED}, o AS (SELECT *, input_offset + row_number() OVER (PARTITION BY batch ORDER BY record_index) - 1 AS hit_offset FROM n) SELECT batch, record_index, substr(hits, hit_offset + 1, greatest(size - 4, 0)) AS hits FROM o JOIN flat USING (batch)")
+def batch_hit_slices(spark, d):
+    return _marks(_of_even(spark, d).query_batch_records(_batches(spark, d)))
+
+
 def _runs(spark, d) -> DataFrame:
     """Order lines as benchmark rows: parameters, throughput, size."""
     return _table(spark, d, "lineitem").select((F.col("l_linenumber") + 20).cast("long").alias("s"), (F.col("l_orderkey") % 5 * 2 + 8).cast("long").alias("m"), (F.col("l_partkey") % 4 * 4 + 4).cast("long").alias("h"), F.col("l_extendedprice").alias("items_per_second"), F.col("l_quantity").alias("bits"), F.col("l_returnflag").alias("series"), (F.col("l_discount") * 100).alias("fpr"))
@@ -425,7 +537,74 @@ def streaming_build(spark, d):
     return streams.open_built(spark, BASES, BITS, out).shards
 
 
-@query("random_sequences")
+_ENTRIES = f"SELECT CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN ' ' || c_name ELSE c_name END AS header, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE sequence END AS sequence FROM customer JOIN ({_CUSTOMERS}) ON c_name = header"
+
+
+@query("fasta_odd_headers", _ENTRIES)
+def fasta_odd_headers(spark, d):
+    """Empty headers, headers that begin with a blank, and entries without a sequence, read from splits."""
+    key, path = F.col("c_custkey"), shared(spark, "fasta")
+    c = _table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("header")).join(_customers(spark, d), "header")
+    header = F.when(key % 7 == 0, "").when(key % 5 == 0, F.concat(F.lit(" "), "header")).otherwise(F.col("header"))
+    fastx.write_fasta(c.select(header.alias("header"), F.when(key % 11 == 0, "").otherwise(F.col("sequence")).alias("sequence")), path, wrap=10)
+    return fastx.read_fasta(spark, path).select("header", "sequence")
+
+
+_OF_ORDERS = f"{sql.located(BASES, SHARDS, ORDERS)}, {sql.built()}, {sql.located(BASES, SHARDS, f'SELECT header AS key, sequence AS seq FROM ({_CUSTOMERS})', 'q')}, pos AS (SELECT key, count(*) FILTER ({sql.HIT}) AS n FROM q_l LEFT JOIN flt USING (shard) GROUP BY key)"
+
+
+def _query_fastx(spark, d) -> tuple[DataFrame, DataFrame]:
+    path = shared(spark, "fasta")
+    fastx.write_fasta(_customers(spark, d), path, wrap=10)
+    spark.dataSource.register(fastx.FastxDataSource)
+    return KmerFilter.build(orders(spark, d), BASES, BITS, "seq").query_fastx(spark.read.format("fastx").load(path))
+
+
+@query("fastx_query_records", f"WITH {_OF_ORDERS} SELECT header, length(sequence)::BIGINT AS queried_bases, {sql.valid_count(BASES, 'sequence')} AS queried_kmers, coalesce(n, 0)::BIGINT AS positive_kmers FROM ({_CUSTOMERS}) LEFT JOIN pos ON header = key")
+def fastx_query_records(spark, d):
+    return _query_fastx(spark, d)[0].select("header", "queried_bases", "queried_kmers", "positive_kmers")
+
+
+@query("fastx_query_report", f"WITH {_OF_ORDERS} SELECT count(*) AS records_queried, sum(length(sequence))::BIGINT AS queried_bases, sum({sql.valid_count(BASES, 'sequence')})::BIGINT AS queried_kmers, sum(coalesce(n, 0))::BIGINT AS positive_kmers FROM ({_CUSTOMERS}) LEFT JOIN pos ON header = key")
+def fastx_query_report(spark, d):
+    return _query_fastx(spark, d)[1]
+
+
+@query("fastx_pieces", f"SELECT c_name AS header, (31 * 40 + 32)::BIGINT AS bases, {sql.valid_count(BASES, 'long')} AS kmers FROM (SELECT header AS c_name, repeat(substr(sequence, 1, 31), 40) || sequence AS long FROM ({_CUSTOMERS}))")
+def fastx_pieces(spark, d):
+    """Long records in pieces that share k - 1 bases: no window is lost or counted twice."""
+    path = shared(spark, "fasta")
+    long = F.concat(F.repeat(F.substring("sequence", 1, 31), 40), "sequence")
+    fastx.write_fasta(_customers(spark, d).select("header", long.alias("sequence")), path, wrap=50)
+    spark.dataSource.register(fastx.FastxDataSource)
+    r = spark.read.format("fastx").option("size", 300).option("overlap", BASES.k - 1).load(path)
+    ends = F.max(F.col("start") + F.octet_length("sequence")).cast("long")
+    return r.groupBy("header").agg(ends.alias("bases"), F.sum(kmers.valid_kmer_count(F.col("sequence"), BASES)).alias("kmers"))
+
+
+@query("concatenated_file", f"SELECT string_agg(sequence, 'N' ORDER BY header) AS sequence, sum(length(sequence) + 1)::BIGINT - 1 AS bases FROM ({_CUSTOMERS})")
+def concatenated_file(spark, d):
+    path = shared(spark, "fasta")
+    fastx.write_fasta(_customers(spark, d).coalesce(1).sortWithinPartitions("header"), path)
+    one = fastx.concatenated(fastx.indexed(fastx.read(spark, f"{path}/part-*")))
+    return one.select("sequence", F.octet_length("sequence").cast("long").alias("bases"))
+
+
+@query("result_csv", f"WITH n AS (SELECT DISTINCT {_NAME.replace('l_shipmode_', 'l_returnflag')} AS name, l_linenumber FROM lineitem) SELECT name, l_linenumber * 1.5::DOUBLE AS real_time, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber * 1000.0::DOUBLE END AS items_per_second, NULL::DOUBLE AS fpr_percentage FROM n")
+def result_csv(spark, d):
+    """A result table with lines before its header, quoted names, missing cells and a missing column."""
+    path, n = shared(spark, "results"), F.col("l_linenumber")
+    flag = F.when(F.col("l_orderkey") % 2 == 0, "Insert").otherwise("Query")
+    cast = lambda c: c.cast("string")
+    name = F.concat(F.lit("ShardedBloom"), "l_returnflag", F.lit("<K31_S"), cast(n + 20), F.lit("_M"), cast(F.col("l_orderkey") % 9 + 8), F.lit("_H4>/"), flag, F.lit("/"), cast(65536 * n), F.lit("_median"))
+    rows = _table(spark, d, "lineitem").select(name.alias("name"), "l_linenumber").distinct()
+    line = F.concat(F.lit('"'), "name", F.lit('",'), cast(n * 1.5), F.lit(","), F.when(n % 3 == 0, "").otherwise(cast(n * 1000.0)))
+    head = "host: somewhere\nname,real_time,items_per_second"
+    files = rows.groupBy(F.pmod(F.xxhash64("name"), F.lit(8)).alias("file")).agg(F.concat_ws("\n", F.lit(head), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return analysis.read_results(spark, f"{path}/*/part-*").select("name", "real_time", "items_per_second", "fpr_percentage")
+
+
+@query("random_sequences", "SELECT i AS record_index, translate(md5('s' || i), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM range(1000) t(i)")
 def random_sequences(spark, d):
-    ship(spark)
-    return fastx.random_sequences(spark, 1000, 60)
+    return fastx.hashed_sequences(spark, 1000, "s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from kmerloom.config import Config
 from kmerloom.functions.bits import GOLDEN, SALTS
 
-_ORDER = {"dna": "ACTG", "dna_triplet": "ACTG", "protein": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_ORDER = {"dna": "ACTG", "dna_triplet": "ACTG", "protein": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "hex": "0123456789ABCDEF"}
 TWO64 = "18446744073709551616::UHUGEINT"
 
 
