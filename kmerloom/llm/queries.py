@@ -14,4 +14,4 @@ QUERIES = {
     "op9_matroska": media.op9_matroska,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLE_SQL = {**urls.SQL, **quality.SQL}
+ORACLE_SQL = {**nearcopies.SQL, **secrets.SQL, **urls.SQL, **quality.SQL}

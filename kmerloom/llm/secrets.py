@@ -224,3 +224,33 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def digest(found: list[tuple[int, int, str]]) -> str:
     """base_sha256 of spans()."""
     return hashlib.sha256(joined([s for s in found if s[2] in ("assign", "access", "hex")]).encode()).hexdigest()
+
+
+def _sql() -> str:
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    quote = "[\"'']?"  # doubled within a text of SQL
+    words = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    patterns = {
+        "assign": rf"({words}){quote}\x20*[:=]\x20*{quote}([A-Za-z0-9+/_.=-]+)", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "github": "gh[pousr]_[A-Za-z0-9]+", "npm": "npm_[A-Za-z0-9]+",
+        "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]+?-----END [A-Z ]*PRIVATE KEY-----", "jwt": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    }
+    found = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, {i} AS rank, regexp_extract_all(t, '{p}') AS vs, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')" for i, (k, p) in enumerate(patterns.items()))
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 31), lambda i: ascii(substr(body, i::INT, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+    base62 = f"array_to_string(list_transform([5, 4, 3, 2, 1, 0], lambda i: substr('{_62}', ((crc // (62 ** i)::BIGINT) % 62)::INT + 1, 1)), '')"
+    head = "split_part(v, '.', 1)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT id, kind, rank, unnest(vs) AS v, unnest(gaps[1:len(vs)]) AS gap, unnest(range(1, len(vs) + 1)) AS i FROM ({found})),
+p AS (SELECT id, kind, rank, v, sum(length(gap) + length(v)) OVER (PARTITION BY id, kind ORDER BY i) AS e FROM m),
+b AS (SELECT *, split_part(v, '_', 2) AS body FROM p),
+c AS (SELECT *, CASE WHEN kind IN ('github', 'npm') AND length(body) = 36 THEN {crc} END AS crc FROM b),
+good AS (SELECT id, rank, kind, e - length(v) AS s, kind || ':' || (e - length(v)) || ':' || e AS span FROM c WHERE CASE kind
+  WHEN 'assign' THEN length(regexp_extract(v, '{patterns['assign']}', 2)) >= {MIN_VALUE} WHEN 'access' THEN length(v) >= {MIN_ACCESS} WHEN 'hex' THEN length(v) >= {MIN_HEX} WHEN 'pem' THEN true
+  WHEN 'jwt' THEN coalesce(try(json_exists(decode(from_base64(translate({head}, '-_', '+/') || repeat('=', ((4 - length({head}) % 4) % 4)::INT))), '$.alg')), false)
+  ELSE crc IS NOT NULL AND substr(body, 31) = {base62} END),
+o AS (SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans FROM good GROUP BY id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (id)"""
+
+
+SQL = {"op7_secrets": _sql()}

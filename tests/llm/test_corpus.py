@@ -61,8 +61,10 @@ def near_copies(seed, groups=6, size=25, n=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_op5_is_brute_force(spark, tables, seed):
     docs = near_copies(seed) + [(1000 + i, t) for i, t in enumerate(ODD)] + [(2000 + i, t) for i, t in enumerate(ODD)] + [(None, "w w w w w w w"), (None, None)] + [(1, near_copies(seed)[1][1])]
-    rows = nearcopies.op5_jaccard_join(spark, tables(docs, "doc_id bigint, text string")).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == brute_components(docs)
+    where = tables(docs, "doc_id bigint, text string")
+    found = nearcopies.op5_jaccard_join(spark, where)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=repr) == brute_components(docs)
+    expect(found, nearcopies.SQL["op5_jaccard_join"], where)
 
 
 def test_every_pair_at_the_border(spark):
