@@ -286,13 +286,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "op5_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT id, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w),
-e AS (SELECT id, unnest(sh) AS g FROM s),
+t AS (SELECT id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w WHERE len(ws) >= 5),
+g AS (SELECT id, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS g FROM t WINDOW o AS (PARTITION BY id ORDER BY i)),
+e AS (SELECT DISTINCT id, g FROM g WHERE g IS NOT NULL UNION ALL SELECT id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+s AS (SELECT w.id, doc_id, count(g) AS n FROM w LEFT JOIN e ON w.id = e.id GROUP BY w.id, doc_id),
 common AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM e x JOIN e y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
-links AS (SELECT a, b FROM common JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE 100 * o >= 80 * (len(x.sh) + len(y.sh) - o)),
+links AS (SELECT a, b FROM common JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
 both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(id, other) AS (SELECT id, id FROM s UNION SELECT reach.id, both_.b FROM reach JOIN both_ ON both_.a = reach.other),
 low AS (SELECT reach.id, min(s.doc_id) AS component_id FROM reach JOIN s ON s.id = reach.other GROUP BY reach.id)
-SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id FROM s JOIN low USING (id)"""
+SELECT doc_id, n AS n_shingles, component_id FROM s JOIN low USING (id)"""
 }
