@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, secret redaction, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, secret redaction, packing.
+
+Edge cases: null and empty texts fail the quality rules and go. Very long texts are taken whole. Rows that repeat a key and text become one; rows of one key with
+different texts stay apart; a null key stays unless its text is a near copy of a kept one. Null languages and sources are groups of their own. Of equal or near texts the smallest key
+stays. Extra columns, whatever their names, go through all stages but the last. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
