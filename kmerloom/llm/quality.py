@@ -6,11 +6,14 @@ and with the same result; the sketch of a language is the sum of its sources', t
 of n documents has the threshold (n * own + prior * parent's) / (n + prior): a small group leans on its language, a language on the corpus, and
 no document more or less changes that at a stroke.
 
-A sketch's own threshold is q75 + spread * (q75 - q25) + slack: it follows the bulk of the group; the slack keeps groups in which nearly all
-documents agree from rejecting whoever differs a little. A document is rejected if it fails the base rules or one metric exceeds its group's threshold.
+A sketch's own threshold is q75 + spread * (q75 - q25): it follows the bulk of the group, and no cutoff is added to it. A document is rejected if it fails the
+base rules or one metric exceeds its group's threshold by more than chance: a document of n units that keeps to a rate t shows up to
+n * t + z * sqrt(n * t + z^2 / 4) + z^2 / 2 events (the upper end of the score interval of a Poisson count). So a short text, or one of a group in which nearly all
+documents agree (t = 0), is not rejected for an event or two, and the longer a text is, the nearer it is held to the threshold itself.
 
 Metrics: symbols (of #*$%&|<> per word), caps (capital letters A-Z per character of a word), bangs (! per word), repeats (words in repeated 5-word windows per
-word), dup_lines (repeated lines per line), word_len (characters per word).
+word), dup_lines (repeated lines per line), word_len (characters per word). Units are words, characters or lines; of words in repeated windows 25 are taken as one event (a sentence
+and its copy), as they never come singly.
 
 Edge cases: null and empty texts have no words, hence fail the base rules; they take no part in the sketches. Null languages and sources are groups of
 their own. Texts are taken whole, very long ones too; repeated rows and ids are judged each by itself, ties (a value equal to its threshold) are kept. An empty table
@@ -29,9 +32,9 @@ WORD, SPACE, SYMBOL = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", r"[#*$%&|<>]"
 SIZE = 5
 GAMMA = 1.02
 ZERO = -(1 << 30)
-#: Metric: slack.
-METRICS = {"symbols": 0.1, "caps": 0.3, "bangs": 0.3, "repeats": 0.25, "dup_lines": 0.5, "word_len": 6.0}
-SPREAD, PRIOR = 3.0, 20
+#: Metric: how many of what it counts make one event.
+METRICS = {"symbols": 1, "caps": 1, "bangs": 1, "repeats": 25, "dup_lines": 1, "word_len": 1}
+SPREAD, PRIOR, Z = 3.0, 20, 2.0
 
 
 def let(value: Column, body) -> Column:
@@ -76,6 +79,16 @@ def _measures(c: Column) -> dict[str, Column]:
     }
 
 
+def _units(c: Column) -> dict[str, Column]:
+    """What each metric is a rate of."""
+    return {k: c["word_chars"] if k == "caps" else c["lines"]["n"] if k == "dup_lines" else c["words"]["n"] for k in METRICS}
+
+
+def chance(limit: Column, units: Column, z: float = Z) -> Column:
+    """By how much a document of so many units exceeds a rate by chance."""
+    return (z * F.sqrt(units * limit + z * z / 4) + z * z / 2) / units
+
+
 def base_failed(c: Column) -> Column:
     n = c["words"]["n"]
     return (n < 10) | (100 * c["words"]["repeats"] > 20 * n)
@@ -102,7 +115,7 @@ def limits(sketch: DataFrame, *by: str, spread: float = SPREAD) -> DataFrame:
     q = lambda share: F.min(F.when(F.col("up_to") >= F.ceil(F.col("total") * share), F.col("v")))
     each = ranked.groupBy(*by, "metric").agg(F.max("total").alias("n"), q(0.25).alias("q1"), q(0.75).alias("q3"))
     limit = F.col("q3") + spread * (F.col("q3") - F.col("q1"))
-    return each.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("metric") == k, limit + slack)).alias(k) for k, slack in METRICS.items()))
+    return each.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("metric") == k, limit)).alias(k) for k in METRICS))
 
 
 def thresholds(sketch: DataFrame, prior: int = PRIOR, spread: float = SPREAD) -> DataFrame:
@@ -116,7 +129,7 @@ def thresholds(sketch: DataFrame, prior: int = PRIOR, spread: float = SPREAD) ->
     return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *(lean("o", k, lean("l", k, F.col(f"e.{k}"))).alias(k) for k in METRICS))
 
 
-def rules(docs: DataFrame, as_: str = "quality", text: str = "text", keep: tuple[str, ...] | None = None, prior: int = PRIOR, spread: float = SPREAD) -> DataFrame:
+def rules(docs: DataFrame, as_: str = "quality", text: str = "text", keep: tuple[str, ...] | None = None, prior: int = PRIOR, spread: float = SPREAD, z: float = Z) -> DataFrame:
     """docs (or their columns `keep`) with a struct `as_`: counts, base_failed, limits and kept."""
     names = [c for c in keep or docs.columns if c != as_]
     row = docs.select(F.struct(*names).alias("row"), F.col("lang").alias("lang"), F.col("source").alias("source"), counts(F.col(text)).alias("c"))
@@ -124,9 +137,10 @@ def rules(docs: DataFrame, as_: str = "quality", text: str = "text", keep: tuple
     found = saved(thresholds(sketches(counted, "c"), prior, spread), "thresholds")  # read back, so that its size decides how it is joined
     t = found.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*METRICS).alias("limits"))
     joined = counted.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    over = F.lit(False)
+    over, units = F.lit(False), _units(F.col("c"))
     for k, v in _measures(F.col("c")).items():
-        over = over | F.coalesce(v > F.col("limits")[k], F.lit(False))
+        limit = F.col("limits")[k]
+        over = over | F.coalesce(v > limit + chance(limit, units[k] / METRICS[k], z), F.lit(False))
     fields = [F.col("c")[k].alias(k) for k in ("words", "lines", "word_chars", "n_symbols", "n_caps", "n_bangs")]
     failed = base_failed(F.col("c"))
     out = F.struct(*fields, "limits", failed.alias("base_failed"), (~failed & ~over).alias("kept"))
@@ -140,11 +154,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     measures = {"symbols": "n_symbols / nullif(n_words, 0)", "caps": "n_caps / nullif(word_chars, 0)", "bangs": "n_bangs / nullif(n_words, 0)", "repeats": "n_repeat_words / nullif(n_words, 0)", "dup_lines": "n_dup_lines / nullif(n_lines, 0)", "word_len": "word_chars / nullif(n_words, 0)"}
-    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in METRICS.items())
+    units = {"caps": "word_chars", "dup_lines": "n_lines", "repeats": f"n_words / {METRICS['repeats']}"}
     quantiles = lambda by, src: f"""SELECT {by}, metric, max(total) AS n, min(v) FILTER (up_to >= ceil(total * 0.25)) AS q1, min(v) FILTER (up_to >= ceil(total * 0.75)) AS q3 FROM (
     SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}, metric) AS total,
       CASE WHEN bucket = {ZERO} THEN 0.0::DOUBLE ELSE 2 * pow({GAMMA}::DOUBLE, bucket) / (1 + {GAMMA}::DOUBLE) END AS v FROM {src}) GROUP BY {by}, metric"""
-    limit = lambda p: f"({p}.q3 + {SPREAD}::DOUBLE * ({p}.q3 - {p}.q1) + CASE o.metric {slack} END)"
+    limit = lambda p: f"({p}.q3 + {SPREAD}::DOUBLE * ({p}.q3 - {p}.q1))"
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 x AS (SELECT *, row_number() OVER () AS id, len(ws) AS n_words FROM w),
@@ -156,14 +170,14 @@ c AS (SELECT x.id, doc_id, lang, source, n_words, coalesce(cov.n, 0)::BIGINT AS
   length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_caps, length(t) - length(replace(t, '!', '')) AS n_bangs,
   list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM x LEFT JOIN cov USING (id)),
 d AS (SELECT *, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM c),
-m AS ({' UNION ALL '.join(f"SELECT id, lang, source, '{k}' AS metric, ({v})::DOUBLE AS v FROM d" for k, v in measures.items())}),
+m AS ({' UNION ALL '.join(f"SELECT id, lang, source, '{k}' AS metric, ({v})::DOUBLE AS v, ({units.get(k, 'n_words')})::DOUBLE AS u FROM d" for k, v in measures.items())}),
 s AS (SELECT lang, source, 1 AS every, metric, CASE WHEN v > 0 THEN ceil(round(ln(v) / ln({GAMMA}::DOUBLE), 9))::INT ELSE {ZERO} END AS bucket, count(*) AS n FROM m WHERE v IS NOT NULL GROUP BY ALL),
 o AS ({quantiles('lang, source', 's')}), l AS ({quantiles('lang', '(SELECT lang, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)')}), e AS ({quantiles('every', '(SELECT every, metric, bucket, sum(n) AS n FROM s GROUP BY ALL)')}),
 size AS (SELECT lang, source, max(n) AS n FROM o GROUP BY ALL), lsize AS (SELECT lang, max(n) AS n FROM l GROUP BY ALL),
 t AS (SELECT o.lang, o.source, o.metric, (size.n * {limit('o')} + {PRIOR} * ((lsize.n * {limit('l')} + {PRIOR} * {limit('e')}) / (lsize.n + {PRIOR}))) / (size.n + {PRIOR}) AS lim
   FROM o JOIN size ON o.lang IS NOT DISTINCT FROM size.lang AND o.source IS NOT DISTINCT FROM size.source JOIN lsize ON o.lang IS NOT DISTINCT FROM lsize.lang
   JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric JOIN e ON o.metric = e.metric),
-bad AS (SELECT DISTINCT m.id FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric WHERE m.v > t.lim)
+bad AS (SELECT DISTINCT m.id FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric WHERE m.v > t.lim + ({Z}::DOUBLE * sqrt(m.u * t.lim + {Z * Z / 4}::DOUBLE) + {Z * Z / 2}::DOUBLE) / m.u)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND id NOT IN (SELECT id FROM bad) AS kept FROM d"""
 

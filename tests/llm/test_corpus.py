@@ -289,6 +289,20 @@ def test_a_document_more_flips_no_group(spark):
     assert out.columns == odd.columns and out.first().quality.kept and tuple(out.first())[4:9] == (5, 6, 7, 8, 9)
 
 
+def test_limits_come_from_the_sketches_alone(spark):
+    """One event in a group without any is chance, many are not; a long text is held nearer to its group's threshold than a short one."""
+    line = lambda i, n: " ".join(f"w{i:04}x{j % 200:03}y{j // 200:02}" for j in range(n))
+    rows = [(i, line(i, 200), "en", "a", 0) for i in range(400)]
+    rows += [(1000, line(1000, 200) + " #", "en", "a", 0), (1001, line(1001, 200) + " #" * 12, "en", "a", 0), (1002, line(1002, 4000) + " #" * 12, "en", "a", 0)]
+    copies = f"{line(2000, 200)}\n" + "\n".join(line(2000 + k, 12) for k in range(9))
+    rows += [(1003, copies + "\n" + line(2001, 12), "en", "a", 0), (1004, line(3000, 1300) + " " + " ".join([line(3001, 60)] * 4), "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r.q for r in quality.rules(df, "q").collect()}
+    assert got[0].limits.symbols == got[0].limits.repeats == 0
+    assert {i for i, q in got.items() if not q.kept} == {1001, 1002, 1004} and not got[1004].base_failed
+    assert {r.doc_id for r in quality.rules(df, "q", z=10.0).where("not q.kept").collect()} == set()
+
+
 def test_op10_sql(spark):
     expect(quality.op10_quality_rules(spark, DATA), quality.SQL["op10_quality_rules"])
 
