@@ -1,7 +1,8 @@
 r"""Token ids of many texts at once.
 
 A batch is cut into pre-tokens by arrays of character classes, its distinct pre-tokens are found by Arrow's dictionary encoding, each new
-one is encoded once (by the tokenizers library, or by another function of distinct words), and the ids are gathered by index. The cut
+one is encoded once (by the tokenizers library, or by another function of distinct words), and the ids are gathered by index. Where a model marks the ends
+of words, the library gets many words in one string and the marks tell them apart again. The cut
 covers texts of code points below 0x250 only, without those whose lower case or normal form isn't one code point for one; any other text,
 and one with the string of a special token, goes whole to the library (or to another function of texts), so results are the library's for all.
 """
@@ -28,6 +29,8 @@ _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else 0x110000
 CACHE = 400_000
 #: Bytes of text cut at once: what a worker holds in arrays is some forty times this.
 SLICE = 3 << 20
+#: Words that go to the library in one string.
+JOINED = 256
 
 
 def load(path: str):
@@ -109,6 +112,11 @@ def cut_word(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return cut
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((x for i in lists for x in i), np.uint32, int(sizes.sum())), sizes
+
+
 class Encoder:
     """ids(texts) for a tokenizer file of kind `byte` (byte-level) or `word` (lower case, white space dropped).
 
@@ -120,12 +128,33 @@ class Encoder:
         self.lower = kind == "word"
         self.cut = {"byte": cut_byte, "word": cut_word}[kind]
         self.words, self.whole = words or self._library, whole or self._library
+        self.ends = None  #: whether an id ends a word
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.lower and suffix and not words:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _library(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has."""
+        if self.ends is None:
+            return _flat(self.words(words))
+        chunks = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        parts = []
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(chunk) and at[-1] == len(ids) - 1:  # a word has one end at most, so each has its own
+                parts.append((ids, np.diff(at, prepend=-1)))
+            else:
+                parts.append(_flat(self.words(chunk)))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
     def _clear(self) -> None:
         self.seen: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -137,24 +166,27 @@ class Encoder:
             self._clear()
         fresh = [w for w in words if w not in self.seen]
         if fresh:
-            ids = [[] if self.lower and _CLASS[ord(w[0])] == SPACE else i for w, i in zip(fresh, self.words(fresh), strict=True)]
+            ids, sizes = self._coded(fresh)
             n, used = len(self.seen), int(self.begin[len(self.seen)])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            while len(self.begin) < n + len(ids) + 1:
+            while len(self.begin) < n + len(fresh) + 1:
                 self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.begin[n + 1 : n + 1 + len(ids)] = used + np.cumsum(sizes)
-            total = int(self.begin[n + len(ids)])
+            self.begin[n + 1 : n + 1 + len(fresh)] = used + np.cumsum(sizes)
+            total = int(self.begin[n + len(fresh)])
             while len(self.flat) < total:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[used:total] = np.fromiter((x for i in ids for x in i), np.uint32, total - used)
+            self.flat[used:total] = ids
             self.seen.update(zip(fresh, range(n, n + len(fresh)), strict=True))
         return np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
 
     def _easy(self, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids and bounds of texts given as code points."""
+        cut = self.cut(cp, off[:-1][off[:-1] < len(cp)]) if len(cp) else np.zeros(0, bool)
+        if self.lower:  # white space has no ids; what follows it begins a pre-token
+            solid = _CLASS[cp] != SPACE
+            off = np.concatenate([[0], np.cumsum(solid)])[off]
+            cp, cut = cp[solid], cut[solid]
         if not len(cp):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        cut = self.cut(cp, off[:-1][off[:-1] < len(cp)])
         starts = np.flatnonzero(cut)
         wide = cp >= 0x80  # two bytes in UTF-8, as all are below 0x250
         at = np.arange(len(cp) + 1)

@@ -30,6 +30,23 @@ def test_encoder_is_the_library(path, kind):
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in enc.tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_words_in_one_string_are_told_apart():
+    """Every character below the cut as a word and at a word's end; white space has no ids."""
+    enc = tokens.Encoder(WORDS, "word")
+    words = [w for c in map(chr, range(tokens.EASY)) if not c.isspace() and c.lower() == c for w in (c, c * 3)] + ["'s", "a" * 5000, "word"]
+    words = [w for w in words if len(enc.tokenizer.pre_tokenizer.pre_tokenize_str(w)) == 1]
+    assert len(words) > 400
+    flat, sizes = enc._coded(words)
+    lists = [e.ids for e in enc.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert sizes.tolist() == [len(x) for x in lists] and flat.tolist() == [i for x in lists for i in x]
+    enc.ends[lists[-1][-1]] = False  # a word without an end: its string is encoded word by word
+    again = enc._coded(words)
+    assert again[0].tolist() == flat.tolist() and again[1].tolist() == sizes.tolist()
+    ids, bounds = enc.ids(pa.array(["", " \n ", "a b", "", "'s it's  x\t"], pa.large_string()))
+    assert bounds.tolist()[:3] == [0, 0, 0] and bounds[3] == bounds[4] == 2
+    assert ids.tolist() == enc.tokenizer.encode("a b", add_special_tokens=False).ids + enc.tokenizer.encode("'s it's  x\t", add_special_tokens=False).ids
+
+
 def test_trie_is_the_library_and_decodes():
     texts, c = fuzz(3001), bpe.Coder(BYTE)
     ids, bounds = c.encode(pa.array(texts, pa.large_string()))
